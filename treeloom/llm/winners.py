@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def key16(x: Column) -> Column:
     return F.when(F.length(x) == 36, F.unhex(F.translate(x, "-", "")))
 
 
-def holding_rows(df: DataFrame, key: str, at: str = "recorded_at") -> DataFrame:
+def holding_rows(df: DataFrame, key: str, at: str = "recorded_at", norm: Callable[[Column], Column] = uuid_key) -> DataFrame:
     """The rows of ``df`` that hold (latest ``at`` per key), as wide as they came, with ``key`` in normal form as ``_key``.
 
     Only keys and times are shuffled, to find the times that lost; the wide rows meet the losing (key, time) pairs by an anti
@@ -22,7 +24,7 @@ def holding_rows(df: DataFrame, key: str, at: str = "recorded_at") -> DataFrame:
     one row, which the operators treat as one record because they carry one key. A null key drops the row, a null time is oldest.
     """
     t = F.coalesce(F.unix_micros(at), F.lit(-(2**62)))
-    keyed = df.withColumn("_key", uuid_key(key)).withColumn("_at", t).where("_key is not null")
+    keyed = df.withColumn("_key", norm(F.col(key))).withColumn("_at", t).where("_key is not null")
     slim = keyed.select("_key", "_at")
     best = slim.groupBy("_key").agg(F.max("_at").alias("_best"), F.min("_at").alias("_first")).where("_first < _best")
     lost = broadcast_if_small(best.select(F.col("_key").alias("_k"), "_best"))

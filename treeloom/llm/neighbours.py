@@ -5,7 +5,8 @@
 2. A group (snapshot) of n rows gets ceil(n / region_rows) regions: nearest of as many centres, fitted on a bounded sample.
    A row belongs to one region and, as a query, also visits the next ``probes`` regions. One region is one task's work, of
    bounded size, whatever the size of the group: total work grows in proportion to the rows.
-3. In a region vectors are coded with 4 bits per pair of dimensions by codebooks fitted with anisotropic weights: the error
+3. In a region vectors are coded with 4 bits per pair of dimensions by codebooks fitted, once and on a bounded sample of all
+   vectors, with anisotropic weights: the error
    along the vector counts more than the error across it. The scan sums table entries for all codes of the region (as one
    matrix product of the queries with the decoded codes, the same sums in the order that vector units like); all codes whose
    score may still reach the fifth best, by the measured code error, are reranked in double precision.
@@ -92,7 +93,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return books[np.arange(books.shape[0]), codes].reshape(len(codes), -1)
 
 
-def search_region(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, block: int = 256):
+def search_region(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, books: np.ndarray | None = None, block: int = 256):
     """(query row, data row, similarity) of each query's k best in ``data``, itself excluded; ties to 12 decimals by smaller id.
 
     ``ids`` and ``query_ids`` are byte strings; data must be sorted by id so that a smaller row is a smaller id.
@@ -100,8 +101,9 @@ def search_region(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
     n = len(data)
     unit = (data / np.linalg.norm(data, axis=1)[:, None]).astype(np.float32)
     rng = np.random.default_rng(11)
-    fit = unit if n <= SAMPLE else unit[rng.choice(n, SAMPLE, replace=False)]
-    coded = decode(encode(unit, books := fit_codebooks(fit.astype(float)).astype(np.float32)), books)
+    if books is None:
+        books = fit_codebooks((unit if n <= SAMPLE else unit[rng.choice(n, SAMPLE, replace=False)]).astype(float)).astype(np.float32)
+    coded = decode(encode(unit, books), books)
     a, b = rng.integers(n, size=2000), rng.integers(n, size=2000)
     error = float(np.std(np.einsum("ij,ij->i", unit[a], coded[b] - unit[b]))) if n > 1 else 0.0
     group = 16
@@ -119,12 +121,12 @@ def search_region(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
         score[:, n:] = -9
         rows = np.flatnonzero(own[at : at + block] >= 0)
         score[rows, own[at + rows]] = -9
-        peak = score.reshape(len(q), -1, group).max(2)
+        peak = score.reshape(len(q), group, -1).max(1)
         need = min(k, peak.shape[1])
         fifth = np.partition(peak, -need, axis=1)[:, -need] if need == k else np.full(len(q), -8, np.float32)
         edge = np.maximum(fifth - np.float32(MARGIN * error + 1e-4), -8)
         qi, gi = np.nonzero(peak >= edge[:, None])
-        pos = (gi[:, None] * group + np.arange(group)).ravel()
+        pos = (gi[:, None] + np.arange(group) * (wide // group)).ravel()
         qi = np.repeat(qi, group)
         keep = score[qi, pos] >= edge[qi]
         qi, pos = qi[keep], pos[keep]
@@ -203,33 +205,45 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
     ``dims``, all zero or not finite take no part; of repeated ids one row counts. A group of fewer than k + 1 rows gives what
     it has. Exact while a group fits one region; beyond, a neighbour is missed only if none of the visited regions holds it.
     """
-    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    good = vectors.select("grp", "id", F.col("v").cast("array<float>").alias("v")).where("grp is not null and id is not null and v is not null")
-    good = good.where((F.size("v") == dims) & finite & F.exists("v", lambda e: e != 0))
-    hashes = good.withColumn("v1", F.transform("v", lambda e: e + F.lit(0).cast("float"))).select("grp", "id", F.xxhash64("v1").alias("h1"), F.hash("v1").alias("h2"))
+    whole = vectors.select("grp", "id", F.col("v").cast("array<float>").alias("v")).where("grp is not null and id is not null and v is not null")
+    top, low, inf = F.array_max("v"), F.array_min("v"), F.lit(float("inf"))
+    # Codegen-friendly; a null element, which these pass over, is met as not finite where vectors become matrices.
+    good = whole.where((F.size("v") == dims) & (top < inf) & (low > -inf) & ((top != 0) | (low != 0)))
+    hashes = good.select("grp", "id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
     crowds = hashes.groupBy("grp", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("grp", "h1", "h2")
     extra = None
     if crowds.limit(1).count():
-        side = broadcast_if_small(crowds)
         w = Window.partitionBy("grp", "h1", "h2").orderBy("id")
-        members = hashes.join(side, ["grp", "h1", "h2"])
+        clean = good.where(F.forall("v", lambda e: e.isNotNull())).select("grp", "id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
+        members = materialize(clean.join(broadcast_if_small(crowds), ["grp", "h1", "h2"]).distinct(), "crowds")
         kept = materialize(members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1), "copies")
-        rest = members.join(broadcast_if_small(kept.select("grp", "id")), ["grp", "id"], "left_anti")
+        rest = materialize(members.join(kept.select("grp", "id"), ["grp", "id"], "left_anti"), "copies-rest")
         extra = rest.join(kept.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("id").alias("near_id")), ["grp", "h1", "h2"]).select("id", "near_id", F.lit(1.0).alias("similarity"))
         good = good.join(broadcast_if_small(rest.select("grp", "id")), ["grp", "id"], "left_anti")
     rows = _regions(good, region_rows, probes)
+    few = [r[0] for r in good.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()]
+    if not few:
+        return vectors.sparkSession.createDataFrame([], "id string, near_id string, similarity double")
+    x = np.array(few, np.float64)
+    x = x[np.isfinite(x).all(1)]
+    if not len(x):
+        return vectors.sparkSession.createDataFrame([], "id string, near_id string, similarity double")
+    books = fit_codebooks(x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     result = [("id", pa.string()), ("near_id", pa.string()), ("similarity", pa.float64())]
 
     def search(table: pa.Table) -> pa.Table:
         ids = _strings(table["id"])
         home = table["home"].to_numpy(zero_copy_only=False)
         x = _matrix(table["v"]).astype(np.float64)
+        sound = np.isfinite(x).all(1)
+        if not sound.all():
+            ids, home, x = ids[sound], home[sound], x[sound]
         _, first = np.unique(ids[home], return_index=True)
         data, names = x[home][first], ids[home][first]
         _, asked = np.unique(ids, return_index=True)
         if not len(data):
             return pa.table({n: pa.array([], t) for n, t in result})
-        q, pos, sim = search_region(data, names, x[asked], ids[asked], k)
+        q, pos, sim = search_region(data, names, x[asked], ids[asked], k, books)
         return pa.table({"id": pa.array(ids[asked][q].astype(str)), "near_id": pa.array(names[pos].astype(str)), "similarity": pa.array(sim)})
 
     found = rows.groupBy("grp", "region").applyInArrow(search, "id string, near_id string, similarity double")

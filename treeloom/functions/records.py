@@ -22,16 +22,18 @@ def uuid_key(x: Column | str) -> Column:
 
     What isn't a uuid keeps its stripped lower-case text, so that it equals nothing but itself; null stays null.
     """
+    usual = _c(x).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")  # nearly all rows stop here, at one scan
     s = F.lower(strip(x))
     h = F.regexp_replace(F.regexp_replace(s, r"^urn:uuid:", ""), r"[{}\-]", "")
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(h.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts)).otherwise(s)
+    return F.when(usual, _c(x)).when(h.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts)).otherwise(s)
 
 
 def path_key(x: Column | str) -> Column:
     """A path with single ``/`` and without ``.`` segments, whatever its spelling."""
+    usual = ~_c(x).rlike(r"\\|//|^\./|/\./|^\s|\s$|^[\x{00a0}\x{feff}]|[\x{00a0}\x{feff}]$")
     s = F.regexp_replace(F.translate(strip(x), "\\", "/"), "/{2,}", "/")
-    return F.regexp_replace(s, r"(^|(?<=/))(\./)+", "")
+    return F.when(usual, _c(x)).otherwise(F.regexp_replace(s, r"(^|(?<=/))(\./)+", ""))
 
 
 def hash_key(x: Column | str) -> Column:

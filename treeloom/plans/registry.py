@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import data_queries
+from treeloom.plans import data_queries, graph_queries
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, graph_queries]
 
 
 def queries() -> dict:

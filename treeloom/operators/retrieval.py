@@ -25,7 +25,8 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, strict: bool = False
     """(question_id, chunk_id, score, hit_rank): the k vectors of the question's snapshot most similar by cosine.
 
     questions: (question_id, snapshot_id, vector), collected when counted small, so that vectors are read where they lie and
-    each task passes on k rows a question; a larger set goes through in blocks of that size. A norm of 0 gives 0; ties fall to
+    each task passes on k rows a question; a larger set goes through in blocks of that size. Scores count to 12 decimals, so that
+    equal vectors tie whatever the order of summation. A norm of 0 gives 0; ties fall to
     the smaller chunk_id; a null vector takes no part, one of another dimension is an error if ``strict``, else left out.
     """
     if k <= 0:
@@ -74,7 +75,7 @@ def _scan(vectors: DataFrame, asked, k: int, strict: bool) -> DataFrame:
                 norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
                 dot = q @ x.T
                 score = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-                score[~np.isfinite(score)] = -2.0
+                score = np.where(np.isfinite(score), np.round(score, 12), -2.0)
                 for j, question in enumerate(ids):
                     top = range(len(at)) if len(at) <= k else np.flatnonzero(score[j] >= np.partition(score[j], -k)[-k])
                     mine = best.setdefault(question, [])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import data_queries, graph_queries
+from treeloom.plans import data_queries, graph_queries, retrieval_queries
 
-_MODULES = [data_queries, graph_queries]
+_MODULES = [data_queries, graph_queries, retrieval_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return queries()["p5_found"](spark, sf_dir)
+    return queries()["context_items"](spark, sf_dir)

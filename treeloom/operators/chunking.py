@@ -29,6 +29,7 @@ def symbol_code(symbols: DataFrame, texts: DataFrame) -> DataFrame:
 
     Children are walked in the order of their first lines by a fold that holds the lines so far and the next line to copy.
     """
+    symbols = symbols.select("id", "source_file_id", "qualified_name", "kind", "start_line", "end_line")
     kids = direct_children(symbols).groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("child_start", "child_id", "child_end", "child_name"))).alias("_kids"))
     t = texts.select(F.col("source_file_id").alias("_f"), split_lines(F.col("text")).alias("_lines"))
     j = symbols.join(kids, F.col("id") == F.col("symbol_id"), "left").join(t, F.col("source_file_id") == F.col("_f"))

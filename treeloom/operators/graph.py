@@ -72,7 +72,7 @@ def induced(walked: DataFrame, edges: DataFrame, kind: str = "CALLS") -> DataFra
     e = edges.where(F.col("kind") == kind).select(F.col("source_symbol_id").alias("source"), F.col("target_symbol_id").alias("target")).distinct()
     a = e.join(inside, F.col("source") == F.col("node_id")).drop("node_id")
     b = inside.select(F.col("root_id").alias("_r"), "node_id")
-    return a.join(b, (F.col("target") == F.col("node_id")) & (F.col("root_id") == F.col("_r")), "left_semi")
+    return a.join(b, (F.col("target") == F.col("node_id")) & (F.col("root_id") == F.col("_r")), "left_semi").select("root_id", "source", "target")
 
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -39,12 +39,12 @@ def probe(references: DataFrame, parents: DataFrame) -> DataFrame:
     A null target refers to nothing; a reference without time counts as older than any parent with a time. Many references to
     one target are a skewed left side, which adaptive execution splits; the index side has one row per key.
     """
-    p = parents.select(F.col("target_table").alias("_t"), F.col("target_id").alias("_id"), "first_seen", "purged", "has_row")
+    p = parents.select(F.col("target_table").alias("_t"), F.col("target_id").alias("_id"), F.col("first_seen").alias("_seen"), F.col("purged").alias("_purged"), F.col("has_row").alias("_has"))
     j = references.where("target_id is not null").join(p, (F.col("target_table") == F.col("_t")) & (F.col("target_id") == F.col("_id")), "left")
-    has = F.coalesce(F.col("has_row"), F.lit(0)) == 1
-    late = has & (F.col("first_seen") > F.coalesce(F.col("referred_at"), F.lit("0001-01-01").cast("timestamp")))
-    kind = F.when(late, "late").when(has, None).when(F.coalesce(F.col("purged"), F.lit(False)), "deleted").otherwise("missing")
-    return j.withColumn("orphan_kind", kind).where("orphan_kind is not null").select(*references.columns, "orphan_kind")
+    has = F.coalesce(F.col("_has"), F.lit(0)) == 1
+    late = has & (F.col("_seen") > F.coalesce(F.col("referred_at"), F.lit("0001-01-01").cast("timestamp")))
+    kind = F.when(late, "late").when(has, None).when(F.coalesce(F.col("_purged"), F.lit(False)), "deleted").otherwise("missing")
+    return j.withColumn("orphan_kind", kind).where("orphan_kind is not null").select(*[c for c in references.columns if c != "orphan_kind"], "orphan_kind")
 
 
 def step(parents: DataFrame, pending: DataFrame, references: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -160,7 +160,7 @@ def rerank(questions: DataFrame, hit: DataFrame, expanded: DataFrame, symbols: D
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
     """The first part of each symbol's chunks; equal parts fall to the smaller id."""
-    cols = [c for c in chunks.columns if c not in ("symbol_id", "part_index", "id")]
+    cols = ["code", "relative_path", "language", "qualified_name", "symbol_kind", "start_line", "end_line"]
     g = chunks.where("symbol_id is not null").groupBy("symbol_id").agg(F.min(F.struct("part_index", "id", *cols)).alias("_c"))
     return g.select("symbol_id", F.col("_c.id").alias("chunk_id"), *[F.col(f"_c.{c}").alias(c) for c in cols])
 
@@ -173,7 +173,7 @@ def build_context(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, ma
     """
     if max_items < 1 or max_chars < 1 or minimum_score < 0:
         raise ValueError("the budget must be positive and the minimum score not negative")
-    r = broadcast_if_small(ranked.where(F.col("final_score") >= minimum_score).select(*[F.col(c).alias("_symbol" if c == "symbol_id" else c) for c in ranked.columns]))
+    r = broadcast_if_small(ranked.where(F.col("final_score") >= minimum_score).select("question_id", F.col("symbol_id").alias("_symbol"), "semantic_score", "semantic_rank", "graph_relations", "final_score", "position"))
     mine = chunks.join(r.select("_symbol").distinct(), F.col("symbol_id") == F.col("_symbol"), "left_semi")
     j = r.join(first_chunks(mine), F.col("_symbol") == F.col("symbol_id")).drop("_symbol")
     q = broadcast_if_small(questions.select(F.col("question_id").alias("_q"), asks(F.col("question"), TEST_WORDS_CONTEXT).alias("_tests")))

@@ -20,7 +20,7 @@ def chain(rows: DataFrame, steps: DataFrame) -> DataFrame:
     gaps. A null hash equals a null hash only; rows of deliveries not in ``steps`` play no part; several rows of one key in
     one delivery count as the latest recorded. A series of one delivery has no changes.
     """
-    r = rows.join(steps, "snapshot_id").where("key is not null").repartition("series", "key")
+    r = rows.select("snapshot_id", "key", "hash", "recorded_at").join(steps.select("snapshot_id", "series", "seq", "next_snapshot_id"), "snapshot_id").where("key is not null").repartition("series", "key")
     r = r.groupBy("series", "key", "seq").agg(F.max(F.struct("recorded_at", "hash")).alias("_r"), F.max("snapshot_id").alias("snapshot_id"), F.max("next_snapshot_id").alias("next_snapshot_id"))
     r = r.select("series", "key", "seq", F.col("_r.hash").alias("hash"), "snapshot_id", "next_snapshot_id")
     w = Window.partitionBy("series", "key").orderBy("seq")
@@ -61,7 +61,7 @@ class SnapshotIndex:
     def read(self) -> DataFrame:
         if not self.version:
             return self.spark.createDataFrame([], "key string, hash string")
-        return self.spark.read.parquet(self._at(self.version)).select("key", "hash")
+        return self.spark.read.schema("key string, hash string, bucket int").parquet(self._at(self.version)).select("key", "hash")
 
     def deliver(self, new: DataFrame) -> DataFrame:
         changes, index = advance(self.read(), new)
@@ -69,4 +69,4 @@ class SnapshotIndex:
         index.withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(self._at(self.version + 1))
         changes.write.mode("overwrite").parquet(f"{self.path}/changes/v={self.version + 1}")
         self.version += 1
-        return self.spark.read.parquet(f"{self.path}/changes/v={self.version}")
+        return self.spark.read.schema(changes.schema).parquet(f"{self.path}/changes/v={self.version}")

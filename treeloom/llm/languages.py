@@ -25,7 +25,7 @@ _KINDS |= {c: c for c in "{}()[];,<>*?:=.@|&"}
 _WORDS = "var let const if else for while do return break continue throw try catch finally switch case default function class extends import export from as of in instanceof new typeof void delete async await yield debugger super this null true false static get set"
 _TYPE_WORDS = "interface type enum namespace declare abstract implements public private protected readonly keyof is infer satisfies"
 _NAMES = "from as of async get set static type declare abstract namespace readonly keyof is infer satisfies let this super null true false public private protected interface implements enum"
-_UNARY = "typeof void delete await yield"
+_UNARY = "typeof delete await yield"
 
 _SCRIPT = """
 Program = Stmts
@@ -54,7 +54,7 @@ Bind = Name | ObjLit | [ Elems ]
 Init = = E |
 Expr = E More
 More = , E More |
-E = PM E | PRE E | INC E | UNARY E | P Post Tail | new E | async Arrowish | ... E
+E = PM E | PRE E | INC E | UNARY E | VOID E | P Post Tail | new E | async Arrowish | ... E | TLT Types TGT E
 P = ID | NAMEKW | NUM | STR | TPL | REGEX | function Fun | class Class | [ Elems ] | ObjLit | ( Args ) ArrowRet | import ImpCall | this | get | set | static | of | from | as
 ImpCall = ( Args ) | . Word
 ArrowRet = AC Type |
@@ -75,7 +75,7 @@ MoreProps = , Props |
 Prop = ... E | * Prop | Key PropRest
 Key = Word | STR | NUM | [ E ]
 PropRest = : E | = E | ( Params ) Ret Block | TPar ( Params ) Ret Block | Key PropRest | * Key PropRest |
-Word = ID | NAMEKW | KW | VARKW | UNARY | KEYS
+Word = ID | NAMEKW | KW | VARKW | UNARY | VOID | KEYS
 Name = ID | NAMEKW | of | from | as | get | set | static | async | this
 Fun = Star OName TPar ( Params ) Ret FunEnd
 Star = * |
@@ -132,7 +132,7 @@ Types = Type TypesMore |
 TypesMore = , Types |
 Type = | Type2 | & Type2 | Type2
 Type2 = TPrim TPost TTail
-TPrim = TName TArgs | STR | NUM | TPL | PM NUM | TBody | [ TElems ] | ( TFun | new Type | UNARY Type2 | keyof Type2 | infer Type2 | import ( STR ) TPrimDot | this | null
+TPrim = UNARY Type2 | keyof Type2 | infer Type2 | new Type | import ( STR ) TPrimDot | this | TName TArgs | STR | NUM | TPL | PM NUM | TBody | [ TElems ] | ( TFun
 TPrimDot = . Words |
 TName = Word TDot
 TDot = . TName |
@@ -146,7 +146,7 @@ TFun = Params ) TFunRet
 TFunRet = => Type | AC Type => Type |
 TPost = [ TIndex ] TPost |
 TIndex = Type |
-TTail = | Type2 | & Type2 | extends Type2 ? Type : Type | is Type2 | => Type |
+TTail = | Type2 | & Type2 | extends Type2 ? Type : Type | is Type2 |
 TBody = { TMembers }
 TMembers = TMember TMembers |
 TMember = ; | , | @ E TMember | PM TMember | ( Params ) Ret TSep | TLT TParams TGT ( Params ) Ret TSep | [ TKey | Word TRest | STR TRest | NUM TRest
@@ -165,16 +165,19 @@ def _script_grammar(typed: bool) -> dict:
     return compile_grammar(text + (_TYPED_RULES if typed else _PLAIN_RULES), "Program")
 
 
+_CONTEXTUAL = ("interface", "type", "enum", "namespace", "declare", "abstract", "implements", "keyof", "is", "infer")
+
+
 @cache
 def _script_words(typed: bool) -> dict[str, str]:
     w = {x: x for x in (_WORDS + (" " + _TYPE_WORDS if typed else "")).split()}
     names = set(_NAMES.split()) - {"from", "as", "of", "async", "get", "set", "static", "this"}
     if typed:
-        names -= {"interface", "type", "enum", "namespace", "declare", "abstract", "implements", "keyof", "is", "infer"}
+        names -= set(_CONTEXTUAL)
     for x in list(w):
         if x in names:
             w[x] = "NAMEKW"
-    return w | {x: "VARKW" for x in ("var", "let", "const")} | {x: "UNARY" for x in _UNARY.split()}
+    return w | {x: "VARKW" for x in ("var", "let", "const")} | {x: "UNARY" for x in _UNARY.split()} | {"void": "VOID"}
 
 
 #: After these a slash divides.
@@ -218,19 +221,43 @@ def script_tokens(text: str, typed: bool) -> tuple[list[str], list[bool]]:
             mark(nl)
             nl, prev = False, k
     if typed:
+        _mark_words(kinds)
+        if "SKIP" in kinds:
+            kept = [i for i, k in enumerate(kinds) if k != "SKIP"]
+            kinds, fresh = [kinds[i] for i in kept], [fresh[i] for i in kept]
         _mark_types(kinds)
     fresh.append(nl)
     return kinds, fresh
 
 
-_IN_TYPE = {"ID", "NAMEKW", "KW", ",", ".", "[", "]", "|", "&", "STR", "NUM", "{", "}", ":", ";", "(", ")", "=>", "?", "UNARY", "extends", "=", "keyof", "this", "is", "infer", "TPL"}
+_DECLARED = {"VARKW", "function", "class", "enum", "namespace", "interface", "type", "abstract", "async", "ID"}
+
+
+def _mark_words(k: list[str]) -> None:
+    """Words that are reserved by what stands beside them only; elsewhere they are names."""
+    for i, t in enumerate(k):
+        if t not in _CONTEXTUAL:
+            continue
+        before, after, then = k[i - 1] if i else "", k[i + 1] if i + 1 < len(k) else "", k[i + 2] if i + 2 < len(k) else ""
+        name = after in ("ID", "NAMEKW")
+        if t == "type" and before in ("import", "export", "{", ",") and (after in ("{", "*") and before in ("import", "export") or name and before == "import" or name and before in ("{", ",") and then in (",", "}", "as")):
+            k[i] = "SKIP"
+        elif not (
+            (t == "type" and name and then in ("=", "<")) or (t in ("interface", "enum") and name) or (t == "namespace" and name and then in ("{", ".")) or (t == "declare" and after in _DECLARED and before not in (".", ",", "(", "="))
+            or (t == "abstract" and after == "class") or (t == "implements" and name) or (t in ("keyof", "infer") and (name or after in ("(", "UNARY", "{"))) or (t == "is" and before in ("ID", "this", "NAMEKW") and (name or after in ("{", "[", "STR", "(")))
+        ):
+            k[i] = "ID"
+
+
+_IN_TYPE = {"ID", "VOID", "NAMEKW", "KW", ",", ".", "[", "]", "|", "&", "STR", "NUM", "{", "}", ":", ";", "(", ")", "=>", "?", "UNARY", "extends", "=", "keyof", "this", "is", "infer", "TPL"}
 _AFTER_TYPE = {"(", ")", "]", ":", ";", ",", ".", "TPL", "}", "=", "=>", "|", "&", "[", "{", ">", "TGT", "?", "AC", "extends", "implements", "PRE"}
 
 
 def _mark_types(k: list[str]) -> None:
     """Tell angle brackets of type arguments from comparisons, and a return type's colon from a choice's, by what follows."""
     for i, t in enumerate(k):
-        if t == "<" and i and k[i - 1] in ("ID", "NAMEKW", "function"):
+        prefix = t == "<" and (not i or k[i - 1] in ("=", "(", ",", "return", "=>", "?", ":", "[", "BIN", "PRE"))
+        if prefix or (t == "<" and i and k[i - 1] in ("ID", "NAMEKW", "function")):
             depth, j = 1, i + 1
             while j < len(k) and depth and j - i < 200:
                 if k[j] == "<":
@@ -240,7 +267,7 @@ def _mark_types(k: list[str]) -> None:
                 elif k[j] not in _IN_TYPE:
                     break
                 j += 1
-            if not depth and (j == len(k) or k[j] in _AFTER_TYPE):
+            if not depth and (j == len(k) or k[j] in _AFTER_TYPE or (prefix and k[j] in ("ID", "this", "NAMEKW", "STR", "NUM", "TPL", "new"))):
                 k[i], k[j - 1] = "TLT", "TGT"
         elif t == "=>":
             j, depth = i - 1, 0
@@ -280,7 +307,13 @@ AnnotArgs = ( AnnotIn ) |
 AnnotIn = Args
 TypeDecl = class ID TPar Herit ClassBody | interface ID TPar Herit ClassBody | record ID TPar ( Params ) Herit ClassBody | enum ID Herit { Enums } | ID TPar ClassBody
 Herit = extends Types Herit | implements Types Herit |
-TPar = TLT Types TGT |
+TPar = TLT TPs TGT |
+TPs = TP TPM
+TPM = , TPs |
+TP = @ Annot TP | ID TPB
+TPB = extends TBs |
+TBs = Type TBM
+TBM = & TBs |
 Types = Type MoreTypes
 MoreTypes = , Types | & Types |
 Type = @ Annot Type | ID TArgs TDot Dims | ? Bound
@@ -291,7 +324,7 @@ TDot = . ID TArgs TDot |
 Dims = [ ] Dims |
 ClassBody = { Members }
 Members = Member Members |
-Member = ; | Block | static Member | final Member | MOD Member | default Member | @ Annot Member | TLT Types TGT Member | class ID TPar Herit ClassBody | interface ID TPar Herit ClassBody | enum ID Herit { Enums } | record ID RecRest | ID MRest
+Member = ; | Block | static Member | final Member | MOD Member | default Member | @ Annot Member | TLT TPs TGT Member | class ID TPar Herit ClassBody | interface ID TPar Herit ClassBody | enum ID Herit { Enums } | record ID RecRest | ID MRest
 RecRest = ID RecIn | TLT Types TGT ( Params ) Herit ClassBody | ( Params ) Herit ClassBody
 RecIn = ( Params ) Dims Throws Body | MVar | TPar ( Params ) Herit ClassBody
 MRest = ( Params ) Throws Body | Block | TArgs2 MType
@@ -589,6 +622,107 @@ def _css_kinds(text: str) -> list[str]:
     return [m["OP"] if m.lastgroup == "OP" else m.lastgroup for m in _CSS_TOKENS.finditer(text) if m.lastgroup != "CO"]
 
 
+_ELEMENT = re.compile(r"(?:(?:^|[=(,?:&|;{}\[>])\s*|\b(?:return|default)\s+|\breturn\s*)(<)(?=[A-Za-z_$>])")
+_TAG = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$:.-]*")
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?\*/")
+
+
+class _NoElement(Exception):
+    pass
+
+
+def _braces(t: str, i: int) -> int:
+    """Past the brace that closes the one at i; quotes and comments count as one."""
+    depth = 0
+    while i < len(t):
+        c = t[i]
+        if c in "\"'`/" and (m := _QUOTED.match(t, i)):
+            i = m.end()
+            continue
+        depth += (c == "{") - (c == "}")
+        i += 1
+        if not depth:
+            return i
+    raise _NoElement
+
+
+def _element(t: str, i: int, inner: list[str]) -> int:
+    """Past the element at i; the expressions in it are collected."""
+    work: list[str] = []
+    while True:
+        tag = _TAG.match(t, i + 1)
+        name = tag.group() if tag else ""
+        i = tag.end() if tag else i + 1
+        alone = False
+        while True:
+            while i < len(t) and t[i].isspace():
+                i += 1
+            if t.startswith("/>", i):
+                alone, i = True, i + 2
+                break
+            if t.startswith(">", i):
+                i += 1
+                break
+            if t.startswith("{", i):
+                end = _braces(t, i)
+                inner.append(t[i + 1 : end - 1].strip().removeprefix("..."))
+            elif m := _ATTRIBUTE.match(t, i):
+                end = m.end()
+                if t.startswith("=", end):
+                    end += 1
+                    if t.startswith("{", end):
+                        start, end = end, _braces(t, end)
+                        inner.append(t[start + 1 : end - 1])
+                    elif q := re.compile(r"\"[^\"]*\"|'[^']*'").match(t, end):
+                        end = q.end()
+                    else:
+                        raise _NoElement
+            else:
+                raise _NoElement
+            i = end
+        if not alone:
+            work.append(name)
+        while work:
+            i = min((x for x in (t.find("<", i), t.find("{", i)) if x >= 0), default=-1)
+            if i < 0:
+                raise _NoElement
+            if t[i] == "{":
+                end = _braces(t, i)
+                inner.append(t[i + 1 : end - 1].strip().removeprefix("..."))
+                i = end
+            elif t.startswith("</", i):
+                m = re.compile(r"</\s*([\w$.:-]*)\s*>").match(t, i)
+                if not m or m[1] != work.pop():
+                    raise _NoElement
+                i = m.end()
+            else:
+                break
+        if not work:
+            return i
+
+
+def without_elements(text: str) -> str:
+    """A script with each JSX element replaced by its expressions in brackets; what isn't a whole element stays."""
+    if "</" not in text and "/>" not in text:
+        return text
+    out, at = [], 0
+    while m := _ELEMENT.search(text, at):
+        i, inner = m.start(1), []
+        try:
+            end = _element(text, i, inner)
+        except _NoElement:
+            out.append(text[at : i + 1])
+            at = i + 1
+            continue
+        parts = [without_elements(f"({x})")[1:-1] for x in inner if _QUOTED.sub("", x).strip()]
+        out.append(f"{text[at:i]}({', '.join(['0', *[f'({x})' for x in parts]])})")
+        at = end
+        if text[at : at + 1] == "<":
+            out.append(" ")
+    return "".join([*out, text[at:]])
+
+
 def _bad_constant(x: str):
     raise ValueError(x)
 
@@ -638,6 +772,8 @@ def first_problem(language: str, text: str) -> str | None:
         if text.startswith("#!"):
             text = "//" + text
         typed = language != "javascript"
+        if language != "typescript":
+            text = without_elements(text)
         kinds, fresh = script_tokens(text, typed)
         table = tables["typescript" if typed else "javascript"]
     elif language == "java":

@@ -49,7 +49,7 @@ def _index(items: list[tuple[int, str]], n: int):
 
 
 def _hits(text: str, vocab: dict, grams: dict, n: int):
-    """(item, first word, last word + 1) for maximal spans of consecutive windows of one item."""
+    """(item, first word, last word + 1) for each union of overlapping windows of one item."""
     low = normal(text)
     ids = [*map(vocab.get, _WORD.findall(low))]
     out: dict[int, list[list[int]]] = {}
@@ -64,7 +64,7 @@ def _hits(text: str, vocab: dict, grams: dict, n: int):
             while j <= end:
                 for item in grams.get(tuple(ids[j - n : j]), ()):
                     spans = out.setdefault(item, [])
-                    if spans and spans[-1][1] >= j - n:
+                    if spans and spans[-1][1] > j - n:
                         spans[-1][1] = j
                     else:
                         spans.append([j - n, j])
@@ -76,7 +76,7 @@ def _hits(text: str, vocab: dict, grams: dict, n: int):
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, start, stop): each maximal stretch of a document all of whose ``n``-word windows stand in the item.
+    """(doc_id, item_id, start, stop): each stretch of a document made of ``n``-word windows that stand in the item; overlapping ones are one.
 
     start and stop are offsets in the normalised text. Null or empty texts and items of fewer than n words have no hits; items
     that share a passage each get their rows; repeated rows give repeated hits. Whole texts are scanned.

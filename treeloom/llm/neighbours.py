@@ -213,13 +213,18 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
     crowds = hashes.groupBy("grp", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("grp", "h1", "h2")
     extra = None
     if crowds.limit(1).count():
-        w = Window.partitionBy("grp", "h1", "h2").orderBy("id")
-        clean = good.where(F.forall("v", lambda e: e.isNotNull())).select("grp", "id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
-        members = materialize(clean.join(broadcast_if_small(crowds), ["grp", "h1", "h2"]).distinct(), "crowds")
+        key = ["grp", "h1", "h2"]
+        side = broadcast_if_small(crowds)
+        w = Window.partitionBy(*key).orderBy("id")
+        hashed = good.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
+        crowd = hashed.join(side, key).where(F.forall("v", lambda e: e.isNotNull()))
+        members = materialize(crowd.select("id", *key).distinct(), "crowds")
         kept = materialize(members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1), "copies")
-        rest = materialize(members.join(kept.select("grp", "id"), ["grp", "id"], "left_anti"), "copies-rest")
-        extra = rest.join(kept.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("id").alias("near_id")), ["grp", "h1", "h2"]).select("id", "near_id", F.lit(1.0).alias("similarity"))
-        good = good.join(broadcast_if_small(rest.select("grp", "id")), ["grp", "id"], "left_anti")
+        rest = members.join(kept.select("id", *key), ["id", *key], "left_anti")
+        extra = rest.join(kept.where(F.col("rank") <= k).select(*key, F.col("id").alias("near_id")), key).select("id", "near_id", F.lit(1.0).alias("similarity"))
+        # One vector stands for a crowd; the crowd's rows, however often delivered, leave the search but for those kept.
+        vector = crowd.groupBy(*key).agg(F.first("v").alias("v"))
+        good = hashed.join(side, key, "left_anti").select("grp", "id", "v").unionByName(kept.join(vector, key).select("grp", "id", "v"))
     rows = _regions(good, region_rows, probes)
     few = [r[0] for r in good.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()]
     if not few:

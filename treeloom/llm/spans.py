@@ -83,7 +83,7 @@ def shared_spans(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
     rows = materialize(compact_rows(records, length, k).withColumn("cid", F.xxhash64("key")), "spans")
     s = rows.groupBy("gram").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.min("span").alias("x"), F.max("span").alias("y"))
     s = s.where("a <> b").select("gram", (F.col("x") == F.col("y")).alias("uniform"))
-    cand = materialize(rows.join(s, "gram").select("key", "cid", "lo", "hi", "uniform"), "spans-candidates")
+    cand = materialize(rows.join(s, "gram").select("key", "cid", "lo", "hi", "uniform").distinct(), "spans-candidates")
     whole = cand.where("uniform").select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     mixed = cand.where("not uniform")
     ranges = mixed.groupBy("key", "cid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from treeloom.functions.text import BEHAVIOUR_WORDS, TEST_WORDS, TEST_WORDS_CONTEXT, asks, is_test_path
 from treeloom.functions.vectors import deterministic_embedding
 from treeloom.operators.graph import symbol_neighbours
-from treeloom.session import BROADCAST_ROWS, broadcast_if_small
+from treeloom.session import broadcast_if_small
 
 #: Defaults of a question.
+QUESTION_BLOCK = 20_000  # questions that are searched in one pass over the vectors
 TOP_K, MAX_ITEMS, MAX_CHARS, MIN_SCORE, TEST_PENALTY, BEHAVIOUR_BOOST = 3, 6, 12_000, 0.20, 0.12, 0.05
 
 
@@ -34,7 +35,7 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, strict: bool = False
     spark = vectors.sparkSession
     q = questions.select("question_id", "snapshot_id", "vector").where("snapshot_id is not null and vector is not null")
     n = q.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
+    blocks = max(1, -(-n // QUESTION_BLOCK))
     parts = []
     for block in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)

@@ -79,7 +79,7 @@ def test_analysis_of_a_checkout(spark, checkout):
     c = analysis.counters(checkout, a).first()
     assert (c["total_files"], c["analyzed_files"], c["skipped_files"], c["error_files"], c["symbols"]) == (10, 6, 1, 3, 4)
     with pytest.raises(Exception, match="SyntaxError"):
-        analysis.analyze(checkout, strict=True)["symbols"].collect()
+        extract.extract(checkout.withColumnRenamed("id", "source_file_id"), strict=True).collect()
     x = analysis.index(checkout, a["symbols"])
     assert {r["source_file_id"]: r["status"] for r in x["status"].collect()}["f1"] == "indexed" and x["vectors"].count() == x["chunks"].count() == 4
 

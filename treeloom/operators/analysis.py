@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from treeloom.functions import ids
 from treeloom.functions.vectors import deterministic_embedding
 from treeloom.operators import chunking, relations, snapshots
+from treeloom.session import materialize
 from treeloom.sources import discovery, extract
 
 
 def analyze(files: DataFrame, patterns: DataFrame | None = None, strict: bool = False) -> dict[str, DataFrame]:
     """symbols, import_references, source_file_relations, symbol_relations, errors of files (file table columns and content).
 
-    Two stages: everything that one file tells by itself, then calls, which need the symbols of all files. The extraction is
-    one pass over contents and is written down by the caller's first action; derived tables share its plan.
+    Two stages: everything that one file tells by itself, then calls, which need the symbols of all files. Contents are read
+    once: what a file tells is written down, and all derived tables read that.
     """
-    e = extract.extract(files.select(F.col("id").alias("source_file_id"), "language", "content"), strict)
-    symbols = relations.map_symbols(extract.rows_of(e, "symbols"))
+    e = materialize(extract.extract(files.select(F.col("id").alias("source_file_id"), "language", "content"), strict), "extracted")
+    symbols = materialize(relations.map_symbols(extract.rows_of(e, "symbols")), "symbols")
     imports = extract.rows_of(e, "imports").withColumn("id", ids.import_id())
     f = files.select(F.col("id").alias("_file"), "snapshot_id", "relative_path", "language")
     located = imports.join(f, F.col("source_file_id") == F.col("_file")).withColumn("import_id", F.col("id"))
-    file_edges = relations.import_edges(relations.resolve_imports(located.dropDuplicates(["import_id"]), files.select("id", "snapshot_id", "relative_path"), patterns), strict)
+    file_edges = materialize(relations.import_edges(relations.resolve_imports(located.dropDuplicates(["import_id"]), files.select("id", "snapshot_id", "relative_path"), patterns), strict), "import-edges")
     calls = relations.call_edges(extract.rows_of(e, "calls"), symbols, imports, file_edges)
     edges = relations.contains_edges(symbols).unionByName(calls)
     return {"symbols": symbols, "import_references": imports, "source_file_relations": file_edges, "symbol_relations": edges, "errors": e.where("error is not null").select("source_file_id", "error")}
@@ -53,7 +54,7 @@ def index(files: DataFrame, symbols: DataFrame, vector: Callable[[Column], Colum
     """chunks, vectors, and ``status``: what became of each file (indexed, no symbols, unreadable, no chunks)."""
     t = discovery.decoded(files.select("id", "content"))
     texts = t.where("text is not null").select(F.col("id").alias("source_file_id"), "text")
-    chunks = chunking.chunk(symbols, files, texts)
+    chunks = materialize(chunking.chunk(symbols, files, texts), "chunks")
     n_symbols = symbols.groupBy(F.col("source_file_id").alias("_s")).agg(F.count("*").alias("_symbols"))
     n_chunks = chunks.groupBy(F.col("source_file_id").alias("_c")).agg(F.count("*").alias("_chunks"))
     j = t.select("id", F.col("text").isNotNull().alias("_ok")).join(n_symbols, F.col("id") == F.col("_s"), "left").join(n_chunks, F.col("id") == F.col("_c"), "left")
@@ -68,7 +69,7 @@ def incremental(previous: dict[str, DataFrame], previous_files: DataFrame, files
     modified files are read. As the stored service does, imports of copied files and edges from copied to re-read files are not
     made; ``complete`` re-reads everything instead.
     """
-    changes = snapshots.plan(snapshots.compare(previous_files, files))
+    changes = materialize(snapshots.plan(snapshots.compare(previous_files, files)), "changes")
     todo = files if complete else files.join(changes.where("action = 'ANALYZE'").select("current_id"), F.col("id") == F.col("current_id"), "left_semi")
     fresh = analyze(todo.select(*files.columns), patterns)
     made = index(todo, fresh["symbols"])
@@ -76,7 +77,7 @@ def incremental(previous: dict[str, DataFrame], previous_files: DataFrame, files
     if complete:
         return out
     pairs = changes.where("action = 'REUSE'").select(F.col("previous_id").alias("previous_file_id"), F.col("current_id").alias("current_file_id"))
-    mapped = snapshots.symbol_pairs(pairs, previous["symbols"])
+    mapped = materialize(snapshots.symbol_pairs(pairs, previous["symbols"]), "carried-symbols")
     new_snapshot = files.select(F.col("id").alias("current_file_id"), "snapshot_id")
     reused = snapshots.reuse_chunks(previous["chunks"], mapped, new_snapshot)
     cols = out["symbols"].columns

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import data_queries, graph_queries, retrieval_queries
+from treeloom.plans import data_queries, graph_queries, retrieval_queries, store_queries
 
-_MODULES = [data_queries, graph_queries, retrieval_queries]
+_MODULES = [data_queries, graph_queries, retrieval_queries, store_queries]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@
    vectors, with anisotropic weights: the error
    along the vector counts more than the error across it. The scan sums table entries for all codes of the region (as one
    matrix product of the queries with the decoded codes, the same sums in the order that vector units like); all codes whose
-   score may still reach the fifth best, by the measured code error, are reranked in double precision.
+   score may still reach the k-th best similarity found, by the measured code error, are reranked in double precision.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from treeloom.session import broadcast_if_small, materialize
 #: Rows of a region, and of the sample that fits the codebooks; both bound a task's memory.
 REGION_ROWS, SAMPLE, PROBES = 16_384, 4_096, 3
 #: How much an error along the vector outweighs one across it, from a threshold of 0.2 in 64 dimensions; margin in code errors.
-PARALLEL_WEIGHT, MARGIN = 4.0, 4.0
+PARALLEL_WEIGHT, MARGIN = 4.0, 5.0
 
 
 def fit_codebooks(x: np.ndarray, sub: int = 2, words: int = 16, rounds: int = 8, weight: float = PARALLEL_WEIGHT, seed: int = 7) -> np.ndarray:
@@ -117,20 +117,34 @@ def search_region(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
     for at in range(0, len(queries), block):
         q = queries[at : at + block]
         qn = np.sqrt(np.einsum("ij,ij->i", q, q))
-        score = (q / qn[:, None]).astype(np.float32) @ table
+        q32 = (q / qn[:, None]).astype(np.float32)
+        score = q32 @ table
         score[:, n:] = -9
         rows = np.flatnonzero(own[at : at + block] >= 0)
         score[rows, own[at + rows]] = -9
         peak = score.reshape(len(q), group, -1).max(1)
         need = min(k, peak.shape[1])
-        fifth = np.partition(peak, -need, axis=1)[:, -need] if need == k else np.full(len(q), -8, np.float32)
-        edge = np.maximum(fifth - np.float32(MARGIN * error + 1e-4), -8)
-        qi, gi = np.nonzero(peak >= edge[:, None])
-        pos = (gi[:, None] + np.arange(group) * (wide // group)).ravel()
-        qi = np.repeat(qi, group)
-        keep = score[qi, pos] >= edge[qi]
-        qi, pos = qi[keep], pos[keep]
-        sim = np.round(np.einsum("ij,ij->i", q[qi], data[pos]) / (qn[qi] * norm[pos]), 12)
+        edge = np.partition(peak, -need, axis=1)[:, -need] if need == k else np.full(len(q), -8, np.float32)
+
+        def exact(edge, floor=None):
+            qi, gi = np.nonzero(peak >= edge[:, None])
+            pos = (gi[:, None] + np.arange(group) * (wide // group)).ravel()
+            qi = np.repeat(qi, group)
+            keep = score[qi, pos] >= edge[qi]
+            qi, pos = qi[keep], pos[keep]
+            if floor is not None:  # single precision settles nearly all of them
+                keep = np.einsum("ij,ij->i", q32[qi], unit[pos]) >= floor[qi] - 1e-5
+                qi, pos = qi[keep], pos[keep]
+            return qi, pos, np.round(np.einsum("ij,ij->i", q[qi], data[pos]) / (qn[qi] * norm[pos]), 12)
+
+        # The k best by code give a similarity that k rows reach; no row whose code says much less can be among the k best.
+        qi, pos, sim = exact(np.maximum(edge, -8))
+        order = np.lexsort((-sim, qi))
+        rank = np.arange(len(qi)) - np.searchsorted(qi[order], qi[order])
+        reached = np.full(len(q), -8.0)
+        at_k = order[rank == k - 1]
+        reached[qi[at_k]] = sim[at_k]
+        qi, pos, sim = exact(np.maximum(reached - MARGIN * error - 1e-4, -8).astype(np.float32), reached)
         order = np.lexsort((pos, -sim, qi))
         qi, pos, sim = qi[order], pos[order], sim[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)

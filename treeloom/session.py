@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that they need no path of their own to it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        at = shared_dir(spark)
+        folder = f"{at[7:]}/treeloom" if at.startswith("file://") else tempfile.mkdtemp(prefix="treeloom-")
+        os.makedirs(folder, exist_ok=True)
+        package = os.path.dirname(os.path.abspath(__file__))
+        stage = os.path.join(folder, f"code-{uuid.uuid4().hex}")
+        shutil.copytree(package, os.path.join(stage, "treeloom"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, f"treeloom-{uuid.uuid4().hex}"), "zip", stage))
+        shutil.rmtree(stage)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, so a lost executor costs no recomputation of earlier rounds."""
     shared_dir(df.sparkSession)

@@ -96,6 +96,15 @@ def test_neighbours_over_regions_keep_recall(spark):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
 
 
+def test_one_dense_region_is_cut_into_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [("g", f"d{i:04}", [1.0 + 0.01 * float(x) for x in rng.normal(size=8)]) for i in range(700)] + [("g", f"s{i:03}", [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp string, id string, v array<float>")
+    got = {(r["id"], r["near_id"]) for r in neighbours.nearest(df, 5, 8, region_rows=50, probes=40).collect()}
+    rows = [(r["grp"], r["id"], r["v"]) for r in df.collect()]
+    assert len(got & _nearest(rows, 5)) / len(got) > 0.99 and len(got) == 5 * len(rows)
+
+
 def test_anisotropic_codes_keep_scores():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 16))

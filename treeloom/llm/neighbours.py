@@ -23,6 +23,8 @@ from treeloom.session import broadcast_if_small, materialize
 
 #: Rows of a region, and of the sample that fits the codebooks; both bound a task's memory.
 REGION_ROWS, SAMPLE, PROBES = 16_384, 4_096, 3
+#: Centres fitted at once for one group (each on 64 rows); a group that would need more gets larger regions, which are cut into blocks.
+MAX_REGIONS = 4_096
 #: How much an error along the vector outweighs one across it, from a threshold of 0.2 in 64 dimensions; margin in code errors.
 PARALLEL_WEIGHT, MARGIN = 4.0, 5.0
 
@@ -165,14 +167,17 @@ def _strings(column) -> np.ndarray:
 
 
 def _regions(rows: DataFrame, region_rows: int, probes: int) -> DataFrame:
-    """rows (grp, id, v) with ``region`` and ``home``: own region once, and further regions to visit as a query."""
+    """rows (grp, id, v) with ``region``, ``block`` and ``home``: own region once, and further regions to visit as a query.
+
+    A region that came out larger than twice the aim is cut into blocks by id: its rows lie in one block each and ask in all.
+    """
     n = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    big = n.where(F.col("n") > region_rows).withColumn("regions", F.ceil(F.col("n") / region_rows * 2).cast("int"))
+    big = n.where(F.col("n") > region_rows).withColumn("regions", F.least(F.ceil(F.col("n") / region_rows * 2), F.lit(MAX_REGIONS)).cast("int"))
     if not big.limit(1).count():
-        return rows.withColumn("region", F.lit(0)).withColumn("home", F.lit(True))
+        return rows.withColumns({"region": F.lit(0), "home": F.lit(True), "block": F.lit(0)})
     big = broadcast_if_small(big)
     out = rows.join(big, "grp", "left")
-    plain = out.where("regions is null").drop("n", "regions").withColumn("region", F.lit(0)).withColumn("home", F.lit(True))
+    plain = out.where("regions is null").drop("n", "regions").withColumns({"region": F.lit(0), "home": F.lit(True), "block": F.lit(0)})
     out = out.where("regions is not null")
     sample = out.where(F.rand(5) < F.least(F.lit(1.0), F.col("regions") * 64 / F.col("n")))
 
@@ -209,7 +214,13 @@ def _regions(rows: DataFrame, region_rows: int, probes: int) -> DataFrame:
         return picked.append_column("region", pa.array(region)).append_column("home", pa.array(np.tile(np.arange(take) == 0, len(x))))
 
     visits = salted.select("grp", "salt", "id", "v").groupBy("grp", "salt").cogroup(spread.groupBy("grp", "salt")).applyInArrow(assign, "grp string, id string, v array<float>, region int, home boolean")
-    return plain.unionByName(visits)
+    visits = materialize(visits, "visits")
+    size = visits.where("home").groupBy("grp", "region").agg(F.count("*").alias("n")).where(F.col("n") > 2 * region_rows)
+    size = broadcast_if_small(size.select("grp", "region", F.ceil(F.col("n") / region_rows).cast("int").alias("blocks")))
+    visits = visits.join(size, ["grp", "region"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int") == F.col("block")
+    return plain.unionByName(visits.select("grp", "id", "v", "region", (F.col("home") & own).alias("home"), "block"))
 
 
 def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = REGION_ROWS, probes: int = PROBES) -> DataFrame:
@@ -265,7 +276,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
         q, pos, sim = search_region(data, names, x[asked], ids[asked], k, books)
         return pa.table({"id": pa.array(ids[asked][q].astype(str)), "near_id": pa.array(names[pos].astype(str)), "similarity": pa.array(sim)})
 
-    found = rows.groupBy("grp", "region").applyInArrow(search, "id string, near_id string, similarity double")
+    found = rows.groupBy("grp", "region", "block").applyInArrow(search, "id string, near_id string, similarity double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "near_id"))), 1, k)
     found = found.groupBy("id").agg(best.alias("b")).select("id", F.explode("b").alias("b")).select("id", "b.near_id", (-F.col("b.s")).alias("similarity"))
     return found.unionByName(extra) if extra is not None else found

@@ -29,3 +29,14 @@ def holding_rows(df: DataFrame, key: str, at: str = "recorded_at", norm: Callabl
     best = slim.groupBy("_key").agg(F.max("_at").alias("_best"), F.min("_at").alias("_first")).where("_first < _best")
     lost = broadcast_if_small(best.select(F.col("_key").alias("_k"), "_best"))
     return keyed.join(lost, (F.col("_key") == F.col("_k")) & (F.col("_at") < F.col("_best")), "left_anti").drop("_at")
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows, chosen by the hash of ``key`` where they lie, never more than twice as many.
+
+    Nothing is sorted or shuffled, so the cost of a sample doesn't grow with the number of tasks; a small table is taken whole.
+    """
+    if total <= rows:
+        return df
+    share = int(rows / total * (1 << 40))
+    return df.where(F.shiftrightunsigned(F.xxhash64(key), 24) < share).limit(2 * rows)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.llm.winners import hash_sample
 from treeloom.session import broadcast_if_small, materialize
 
 #: Rows of a region, and of the sample that fits the codebooks; both bound a task's memory.
@@ -166,12 +167,11 @@ def _strings(column) -> np.ndarray:
     return np.array([x.encode() for x in column.to_pylist()])
 
 
-def _regions(rows: DataFrame, region_rows: int, probes: int) -> DataFrame:
+def _regions(rows: DataFrame, n: DataFrame, region_rows: int, probes: int) -> DataFrame:
     """rows (grp, id, v) with ``region``, ``block`` and ``home``: own region once, and further regions to visit as a query.
 
     A region that came out larger than twice the aim is cut into blocks by id: its rows lie in one block each and ask in all.
     """
-    n = rows.groupBy("grp").agg(F.count("*").alias("n"))
     big = n.where(F.col("n") > region_rows).withColumn("regions", F.least(F.ceil(F.col("n") / region_rows * 2), F.lit(MAX_REGIONS)).cast("int"))
     if not big.limit(1).count():
         return rows.withColumns({"region": F.lit(0), "home": F.lit(True), "block": F.lit(0)})
@@ -250,8 +250,10 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
         # One vector stands for a crowd; the crowd's rows, however often delivered, leave the search but for those kept.
         vector = crowd.groupBy(*key).agg(F.first("v").alias("v"))
         good = hashed.join(side, key, "left_anti").select("grp", "id", "v").unionByName(kept.join(vector, key).select("grp", "id", "v"))
-    rows = _regions(good, region_rows, probes)
-    few = [r[0] for r in good.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()]
+    sizes = materialize(good.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
+    rows = _regions(good, sizes, region_rows, probes)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    few = [r[0] for r in hash_sample(good, "id", SAMPLE, total).select("v").collect()]
     if not few:
         return vectors.sparkSession.createDataFrame([], "id string, near_id string, similarity double")
     x = np.array(few, np.float64)

@@ -86,6 +86,18 @@ def file_neighbours(spark, sf_dir):
     return graph.file_neighbours(e.select("target_file_id"), e, P.source_files(spark, sf_dir))
 
 
+def symbol_neighbours_all(spark, sf_dir):
+    """Members, callees and callers of every symbol."""
+    s = P.symbols(spark, sf_dir)
+    return graph.symbol_neighbours(s.select("id"), P.symbol_relations(spark, sf_dir), s)
+
+
+def file_neighbours_all(spark, sf_dir):
+    """Imports and importers of every file."""
+    f = P.source_files(spark, sf_dir)
+    return graph.file_neighbours(f.select("id"), P.source_file_relations(spark, sf_dir), f)
+
+
 def _walk(spark, sf_dir):
     s, e = P.symbols(spark, sf_dir), P.symbol_relations(spark, sf_dir)
     return graph.walk_calls(s.where("kind = 'FUNCTION'").select("id"), e, s, 3)
@@ -137,6 +149,11 @@ def edges_of_nodes(spark, sf_dir):
     return graph.touching(P.symbol_relations(spark, sf_dir), P.symbols(spark, sf_dir).where("kind = 'INTERFACE'").select("id"))
 
 
+def edges_of_nodes_all(spark, sf_dir):
+    """Edges out of and into every symbol."""
+    return graph.touching(P.symbol_relations(spark, sf_dir), P.symbols(spark, sf_dir).select("id"))
+
+
 def contains_edges(spark, sf_dir):
     """CONTAINS edges that the parents of symbols imply, with their ids."""
     return relations.contains_edges(P.symbols(spark, sf_dir)).select("id", "source_symbol_id", "target_symbol_id")
@@ -303,7 +320,7 @@ QUERIES = {
         language_summary, language_detection, discovery_scan, content_hashes, derived_ids, list_files, list_symbol_relations, list_file_relations, symbol_neighbours, file_neighbours, walk_calls, walk_imports, depth_index,
         induced_subgraph, edges_of_nodes, contains_edges, snapshot_compare, change_counts, incremental_plan, previous_ready, newest_snapshot, reuse_symbols, remap_edges, remap_file_edges, file_tree, test_paths, question_kinds,
         direct_children, local_imports, alias_imports, record_audit, last_writes, duplicate_commits, purge_counts, job_audit, latest_job,
-        walk_calls_all, depth_index_all, induced_subgraph_all,
+        walk_calls_all, depth_index_all, induced_subgraph_all, symbol_neighbours_all, file_neighbours_all, edges_of_nodes_all,
     )
 }
 
@@ -391,6 +408,9 @@ SQL = {
     "depth_index_all": f"{_WALK_ALL} select *, row_number() over (partition by root_id, depth order by node_id) - 1 as index from walked",
     "induced_subgraph_all": f"{_WALK_ALL}, inside as (select root_id, node_id from walked union select root_id, root_id from walked), c as (select distinct source_symbol_id source, target_symbol_id target from edges where kind = 'CALLS') select a.root_id, c.source, c.target from c join inside a on a.node_id = c.source join inside b on b.node_id = c.target and a.root_id = b.root_id",
     "edges_of_nodes": f"with syms as ({SYMBOLS}), edges as ({EDGES}), n as (select id from syms where kind = 'INTERFACE') select n.id node_id, 'OUT' direction, e.target_symbol_id other_id, e.kind from edges e join n on n.id = e.source_symbol_id union all select n.id, 'IN', e.source_symbol_id, e.kind from edges e join n on n.id = e.target_symbol_id",
+    "symbol_neighbours_all": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select distinct * from (select r.id symbol_id, e.kind relation, e.target_symbol_id neighbour_id from syms r join edges e on e.source_symbol_id = r.id where e.kind in ('CONTAINS', 'CALLS') union all select r.id, 'CALLED_BY', e.source_symbol_id from syms r join edges e on e.target_symbol_id = r.id where e.kind = 'CALLS') where neighbour_id in (select id from syms)",
+    "file_neighbours_all": f"with files as ({FILES}), e as ({FILE_EDGES}) select distinct * from (select r.id file_id, 'IMPORTS' relation, e.target_file_id neighbour_id from files r join e on e.source_file_id = r.id union all select r.id, 'IMPORTED_BY', e.source_file_id from files r join e on e.target_file_id = r.id) where neighbour_id in (select id from files)",
+    "edges_of_nodes_all": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select n.id node_id, 'OUT' direction, e.target_symbol_id other_id, e.kind from edges e join syms n on n.id = e.source_symbol_id union all select n.id, 'IN', e.source_symbol_id, e.kind from edges e join syms n on n.id = e.target_symbol_id",
     "contains_edges": f"select {entity_sql('symbol_relations', 'parent_symbol_id', chr(39) + 'CONTAINS' + chr(39), 'id')} id, parent_symbol_id source_symbol_id, id target_symbol_id from ({SYMBOLS}) where parent_symbol_id is not null",
     "snapshot_compare": f"with {_PAIRS} select * from cmp",
     "change_counts": f"with {_PAIRS} select series, seq, count(*) filter (change_kind = 'ADDED') added, count(*) filter (change_kind = 'DELETED') deleted, count(*) filter (change_kind = 'MODIFIED') modified, count(*) filter (change_kind = 'UNCHANGED') unchanged from cmp group by 1, 2",

@@ -1,7 +1,8 @@
 """Most similar vectors for every vector: score-aware quantisation, table scans and exact reranking inside bounded regions.
 
-1. Exact copies beyond the k + 1 smallest ids of a group are set aside by a narrow count; their answer is the group's k smallest
-   ids, so a vector shared by a third of all rows costs one row of search.
+1. Exact copies beyond the k + 1 smallest ids of a crowd are set aside by a narrow count, so a vector shared by a third of all
+   rows costs k + 1 rows of search. A set-aside row is answered with what the crowd's smallest id found, and that id itself: other
+   vectors of the same direction tie with the crowd's own rows.
 2. A group (snapshot) of n rows gets ceil(n / region_rows) regions: nearest of as many centres, fitted on a bounded sample.
    A row belongs to one region and, as a query, also visits the next ``probes`` regions. One region is one task's work, of
    bounded size, whatever the size of the group: total work grows in proportion to the rows.
@@ -236,7 +237,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
     good = whole.where((F.size("v") == dims) & (top < inf) & (low > -inf) & ((top != 0) | (low != 0)))
     hashes = good.select("grp", "id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
     crowds = hashes.groupBy("grp", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("grp", "h1", "h2")
-    extra = None
+    rest = None
     if crowds.limit(1).count():
         key = ["grp", "h1", "h2"]
         side = broadcast_if_small(crowds)
@@ -246,7 +247,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
         members = materialize(crowd.select("id", *key).distinct(), "crowds")
         kept = materialize(members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1), "copies")
         rest = members.join(kept.select("id", *key), ["id", *key], "left_anti")
-        extra = rest.join(kept.where(F.col("rank") <= k).select(*key, F.col("id").alias("near_id")), key).select("id", "near_id", F.lit(1.0).alias("similarity"))
+        rest = rest.join(kept.where("rank = 1").select(*key, F.col("id").alias("lead")), key).select("id", "lead")
         # One vector stands for a crowd; the crowd's rows, however often delivered, leave the search but for those kept.
         vector = crowd.groupBy(*key).agg(F.first("v").alias("v"))
         good = hashed.join(side, key, "left_anti").select("grp", "id", "v").unionByName(kept.join(vector, key).select("grp", "id", "v"))
@@ -280,8 +281,14 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
 
     found = rows.groupBy("grp", "region", "block").applyInArrow(search, "id string, near_id string, similarity double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "near_id"))), 1, k)
-    found = found.groupBy("id").agg(best.alias("b")).select("id", F.explode("b").alias("b")).select("id", "b.near_id", (-F.col("b.s")).alias("similarity"))
-    return found.unionByName(extra) if extra is not None else found
+    found = found.groupBy("id").agg(best.alias("b"))
+    if rest is not None:
+        found = materialize(found, "found")
+        lists = found.join(rest.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
+        own = F.array(F.struct(F.lit(-1.0).alias("s"), F.col("id").alias("near_id")))
+        lists = broadcast_if_small(lists.select(F.col("id").alias("lead"), F.slice(F.array_sort(F.concat("b", own)), 1, k).alias("b")))
+        found = found.unionByName(rest.join(lists, "lead").select("id", "b"))
+    return found.select("id", F.explode("b").alias("b")).select("id", "b.near_id", (-F.col("b.s")).alias("similarity"))
 
 
 def pairs(neighbours: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ The functions vote per paragraph and subject:
 * words: a sentence with several words that, in the collection, keep to paragraphs of the subject;
 * clues: a sentence with several words of the bundled clue list, none of another subject as strong;
 * heading: a section whose heading names a term of the subject, over a paragraph with one.
-Word models and the accuracies of the functions are learned on a bounded, hash-chosen sample of documents (``SAMPLE_DOCS``);
-the learned tables are a few hundred kB and are broadcast. Votes, posteriors and pairs are computed for every document.
+Words are counted per provisional class, and vote patterns for the accuracies of the functions, over all documents: each task
+adds up what it has and the sums meet by class and word. Words counted less than ``LEAST`` times in all stay with the executors;
+the learned tables are broadcast. Votes are cast once for every document and kept, as pairs of a document and a subject with the
+patterns they had, for the posteriors that follow.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.lexicon import FIGURES, OTHER, clues, terms
-from treeloom.llm.winners import hash_sample
+from treeloom.session import materialize
 
-#: About as many documents fit the models, at most twice as many.
-SAMPLE_DOCS = 6_000
+#: A word speaks for anything from this count on. Counts that a task holds before it passes them on.
+LEAST, HELD = 5, 200_000
 #: A word keeps to a subject from this log ratio over any other class on; a sentence needs two such words and this sum of ratios,
 #: of which one counts up to the cap; or this many words of the clue list.
 KEEPS, KEPT_SUM, KEPT_CAP, CLUE_WORDS = 0.7, 4.5, 3.5, 4
@@ -35,6 +37,7 @@ _TICKS = re.compile(r"`[^`\n]*`")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _FUNCTIONS = ("terms", "words", "clues", "heading")
+_PATTERNS = [(a, b, c, d) for a in (0, 1) for b in (0, 1) for c in (0, 1) for d in (0, 1)]
 
 
 def paragraphs(text: str) -> list[tuple[str, list[str]]]:
@@ -187,34 +190,41 @@ def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, tuple[int, ..
     return out
 
 
-def fit(texts: list[str]) -> Model:
-    """Word tables from paragraphs the lexicon alone is sure about, then accuracies of the functions by expectation maximisation."""
-    lex, model = Lexicon(), Model()
+def count_words(text: str, lex: Lexicon, counts: Counter) -> None:
+    """Add the sentences of paragraphs the lexicon alone is sure about: (class, word) counts, under the word "" the sentences."""
+    for _, sentences in paragraphs(text):
+        read = [lex.read(s) for s in sentences]
+        count: dict[str, set] = defaultdict(set)
+        for found, _ in read:
+            for subject, term in found:
+                count[subject].add(term)
+        best = max(count.items(), key=lambda x: len(x[1]), default=("", ()))
+        name = best[0] if len(best[1]) >= 3 else "none" if len(best[1]) <= 1 else None
+        if name:
+            for _, rest in read:
+                counts.update((name, w) for w in {w for w in rest if len(w) > 2})
+            counts[name, ""] += len(read)
+
+
+def word_tables(counts: dict[tuple[str, str], int]) -> tuple[Model, list[str]]:
+    """The word tables of a model, and the subjects met, from (class, word) counts."""
+    model = Model()
     of: dict[str, Counter] = defaultdict(Counter)
     sizes: Counter = Counter()
-    for text in texts:
-        for _, sentences in paragraphs(text):
-            read = [lex.read(s) for s in sentences]
-            count: dict[str, set] = defaultdict(set)
-            for found, _ in read:
-                for subject, term in found:
-                    count[subject].add(term)
-            best = max(count.items(), key=lambda x: len(x[1]), default=("", ()))
-            name = best[0] if len(best[1]) >= 3 else "none" if len(best[1]) <= 1 else None
-            if name:
-                for _, rest in read:
-                    of[name].update({w for w in rest if len(w) > 2})
-                    sizes[name] += 1
-    subjects = [s for s in of if s != "none"]
+    for (name, w), n in counts.items():
+        if w:
+            of[name][w] = n
+        else:
+            sizes[name] = n
+    subjects = sorted(s for s in sizes if s != "none")
     if not subjects or not sizes["none"]:
-        model.trust = _accuracies(Counter())
-        return model
+        return model, []
     about: Counter = Counter()
     for s in subjects:
         about.update(of[s])
     n_about, n_none = sum(sizes[s] for s in subjects), sizes["none"]
     for w, n in (about + of["none"]).items():
-        if n < 5:
+        if n < LEAST:
             continue
         p, q = (about[w] + 0.5) / (n_about + 1), (of["none"][w] + 0.5) / (n_none + 1)
         lean = max(-2.0, min(1.0, math.log(p / q)))
@@ -225,18 +235,57 @@ def fit(texts: list[str]) -> Model:
         weight = math.log(top[0] / max(rival, (of["none"][w] + 0.5) / (n_none + 50)))
         if weight >= KEEPS and of[top[1]][w] >= 4:
             model.keeps[w] = (top[1], min(KEPT_CAP, weight))
-    model._told = None
-    patterns: Counter = Counter()
-    total = 0
+    return model, subjects
+
+
+def trusted(patterns: Counter, paragraphs_: int, subjects: list[str]) -> dict[tuple[int, ...], float]:
+    """Trust in every pattern of votes, from the patterns met; a paragraph that no function votes on counts for each subject."""
+    patterns = Counter(patterns)
+    patterns[(0,) * len(_FUNCTIONS)] += max(0, paragraphs_ * len(subjects) - sum(patterns.values()))
+    return _accuracies(patterns)
+
+
+def fit(texts: list[str]) -> Model:
+    """Word tables from paragraphs the lexicon alone is sure about, then accuracies of the functions by expectation maximisation."""
+    lex, counts, patterns, total = Lexicon(), Counter(), Counter(), 0
     for text in texts:
+        count_words(text, lex, counts)
+    model, subjects = word_tables(counts)
+    for text in texts if subjects else ():
         for by in votes(text, lex, model):
             total += 1
             patterns.update(by.values())
-    patterns[(0,) * len(_FUNCTIONS)] += max(0, total * len(subjects) - sum(patterns.values()))
-    model.trust = _accuracies(patterns)
+    model.trust = trusted(patterns, total, subjects) if subjects else _accuracies(Counter())
     return model
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(name, word, n) of all texts: sums of each task, then of all."""
+    names = ("name", "word", "n")
+
+    def batch(counts: Counter) -> pa.RecordBatch:
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names)
+
+    def run(batches):
+        lex, counts = Lexicon(), Counter()
+        for b in batches:
+            for t in b.column(0):
+                count_words(t.as_py(), lex, counts)
+                if len(counts) >= HELD:
+                    yield batch(counts)
+                    counts = Counter()
+        yield batch(counts)
+
+    return docs.where("text is not null").select("text").mapInArrow(run, "name string, word string, n long").groupBy("name", "word").agg(F.sum("n").alias("n"))
+
+
+def _word_counts(docs: DataFrame) -> dict[tuple[str, str], int]:
+    """Counts of the words met ``LEAST`` times, whatever their classes; of the sentences always."""
+    by_word = _counted(docs).groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("name", "n")).alias("by"))
+    return {(c["name"], r["word"]): c["n"] for r in by_word.where((F.col("all") >= LEAST) | (F.col("word") == "")).toLocalIterator() for c in r["by"]}
+
+
 def _accuracies(patterns: Counter, rounds: int = 40) -> dict[tuple[int, ...], float]:
     """Posterior of the subject for every pattern of votes: a two-class model with independent functions, fitted by EM.
 
@@ -265,7 +314,12 @@ def _accuracies(patterns: Counter, rounds: int = 40) -> dict[tuple[int, ...], fl
         for k in range(m):
             hit[k] = min(0.9, max(least[k], sum(n * weight[v] * v[k] for v, n in patterns.items()) / yes))
             false[k] = min(most[k], max(0.0001, sum(n * (1 - weight[v]) * v[k] for v, n in patterns.items()) / no))
-    return {v: posterior(v) for v in ((a, b, c, d) for a in (0, 1) for b in (0, 1) for c in (0, 1) for d in (0, 1))}
+    return {v: posterior(v) for v in _PATTERNS}
+
+
+def _number(pattern: tuple[int, ...]) -> int:
+    """The place of a pattern in ``_PATTERNS``."""
+    return int("".join(map(str, pattern)), 2)
 
 
 def document_subjects(docs: DataFrame, subjects: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -276,23 +330,36 @@ def document_subjects(docs: DataFrame, subjects: DataFrame, threshold: float = 0
     """
     spark = docs.sparkSession
     known = {r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()}
-    sample = hash_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE_DOCS, docs.count()).where("text is not null")
-    model = spark.sparkContext.broadcast(fit([r[0] for r in sample.select("text").toLocalIterator()]))
-    shape = [("doc_id", pa.int64()), ("subject", pa.string()), ("posterior", pa.float64())]
+    fitted, met = word_tables(_word_counts(docs))
+    model = spark.sparkContext.broadcast(fitted)
+    shape = [("doc_id", pa.int64()), ("subject", pa.string()), ("patterns", pa.int32()), ("pattern", pa.int32()), ("n", pa.int64())]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[] for _ in shape]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape, strict=True)], [n for n, _ in shape])
 
     def run(batches):
         lex, m = Lexicon(), model.value
+        counts: Counter = Counter()
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                best: dict[str, float] = {}
-                for by in votes(t, lex, m) if t and d is not None else ():
+                had: dict[str, int] = {}
+                for by in votes(t, lex, m) if t else ():
+                    counts[-1] += 1
                     for s, v in by.items():
-                        p = m.trust[v]
-                        if p >= threshold and s in known:
-                            best[s] = max(p, best.get(s, 0.0))
-                out += [(d, s, round(p, 6)) for s, p in best.items()]
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape, strict=True)], [n for n, _ in shape])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, subject string, posterior double")
+                        k = _number(v)
+                        counts[k] += 1
+                        had[s] = had.get(s, 0) | 1 << k
+                if d is not None:
+                    out += [(d, s, p, None, None) for s, p in had.items() if s in known]
+            yield batch(out)
+        yield batch([(None, None, None, k, n) for k, n in counts.items()])  # -1: paragraphs
+
+    kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, subject string, patterns int, pattern int, n long")
+    kept = materialize(kept, "votes")
+    counts = {r[0]: r[1] for r in kept.where("pattern is not null").groupBy("pattern").agg(F.sum("n")).collect()}
+    total = counts.pop(-1, 0)
+    trust = trusted(Counter({v: counts[_number(v)] for v in _PATTERNS if _number(v) in counts}), total, met) if met else _accuracies(Counter())
+    best = F.greatest(*[F.when(F.col("patterns").bitwiseAND(1 << _number(v)) != 0, F.lit(p)).otherwise(0.0) for v, p in trust.items()])
+    return kept.where("subject is not null").select("doc_id", "subject", best.alias("posterior")).where(F.col("posterior") >= threshold).withColumn("posterior", F.round("posterior", 6))

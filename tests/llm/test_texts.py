@@ -96,5 +96,28 @@ def test_subjects_of_made_documents(spark):
 
 def test_paragraphs_leave_code_out():
     t = "# Judge and jury\n\nText one. Text two.\r\n\r\n```\ncode\n\nmore\n```\n\n> x = f(1);\n\n- item `judge` here\n"
-    assert [s for _, s in subjects.paragraphs(t)] == [["Text one.", "Text two."], ["- item   here"]] and subjects.paragraphs(t)[0][0] == "Judge and jury"
-    assert subjects.paragraphs("") == [] and subjects.fit([]).trust[(1, 1, 1, 1)] > 0.9
+    assert [s for _, s, _ in subjects.paragraphs(t)] == [["Text one.", "Text two."], ["- item   here"]] and subjects.paragraphs(t)[0][0] == "Judge and jury"
+    assert subjects.paragraphs("") == []
+
+
+def test_addresses_sections_and_sources_vote(spark):
+    lex, model = subjects.Lexicon(), subjects.Model()
+    assert subjects.paragraphs("See https://example.org/court/verdict.html or ask a@b.example now.")[0][1:] == (["See   or ask   now."], ["https://example.org/court/verdict.html", "a@b.example"])
+    assert subjects.votes("See https://example.org/court-verdict/x now.", lex, model)[0]["law"] == 8
+    assert subjects.votes("# The verdict\n\nA judge came.", lex, model)[0]["law"] == 4
+    law, other = "The {} heard the attorney and the plaintiff near the statute.", "Nothing of note happened on day {}."
+    docs = [(i, law.format("judge"), "courts/a") for i in range(40)] + [(100 + i, other.format(i), "mixed/b") for i in range(60)]
+    docs += [(i, law.format("judge"), "mixed/b") for i in range(200, 203)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    names = spark.createDataFrame([("law",), ("music",)], "subject string")
+    labels = spark.createDataFrame([(0, "law"), (1, "law"), (100, "music"), (None, "law"), (5, None)], "doc_id long, subject string")
+    got = {r["doc_id"]: r["posterior"] for r in subjects.document_subjects(df, names, labels).collect()}
+    assert set(got) == {*range(40), 200, 201, 202}
+    assert {r["doc_id"] for r in subjects.document_subjects(df.drop("source"), names, labels.limit(0)).collect()} == set(got)
+
+
+def test_accuracies_are_learned_not_given():
+    n = subjects.Counter({0: 10_000, 3: 800, 1: 150, 2: 50, 4: 40})
+    got = subjects.accuracies(n)
+    assert got[0] < 0.05 and got[3] > 0.95 and got[1] < got[3] and subjects.accuracies(subjects.Counter())[3] > 0.9
+    assert subjects.accuracies(n, [0.2, 0.0005, 0.01, 0.01, 0.01])[1] < subjects.accuracies(n, [0.0005, 0.2, 0.01, 0.01, 0.01])[1]

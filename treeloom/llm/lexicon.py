@@ -1,44 +1,80 @@
-"""Lexicons of the subject labelling functions: phrases of a field, and words that go with it without being proof."""
+"""Seed lexicons of the subject labelling functions.
+
+The words are the everyday vocabulary of each field, written down from general knowledge as a dictionary or an encyclopedia's
+index would list it, without regard to any collection the operator is run on. They only start the learning: what else
+speaks for a subject is counted from the documents.
+"""
 
 from __future__ import annotations
 
-#: Fixed word lists. Terms: phrases that name things of the field. A doubled sense (``pitch``, ``kernel``) needs company like any term.
+#: Fixed word lists: names of things, people and acts of a field. A word of two fields stands under both and needs company in each.
 TERMS = {
-    "agriculture": "barley, beekeeper, compost, crop rotation, crop, dairy herd, drought, farm gate price, farm, farmer, farmland, fertiliser, fertilizer, field boundary, grain silo, greenhouse, harvest, hay, irrigation, lambing, livestock, milking, orchard, pasture, pesticide, plant, ploughing, plough, poultry, root vegetable, seed drill, seedling, soil sample, topsoil, tractor, vineyard, weed, yield per hectare, hectare, cattle, sheep, wheat, maize, acreage, agronomy, combine harvester, silage, manure, herbicide",
-    "education": "apprentice, attendance register, campus, classroom, course credit, curriculum, diploma, enrolment, enrollment, exam paper, faculty, grading rubric, homework, kindergarten, lecture, lesson plan, lesson, pupil, quiz mark, reading list, scholarship, school district, school term, school, semester, seminar, spelling test, teacher, thesis, tuition, tutor, university, undergraduate, schoolchildren, headteacher, syllabus, coursework, graduation, dissertation",
-    "energy": "battery storage, biogas, carbon price, coal plant, electric current, electricity, feed-in tariff, frequency reserve, fuel cell, gas pipeline, heat pump, hydro dam, megawatt, kilowatt, meter reading, nuclear plant, offshore cable, outage, peak demand, power grid, power station, reactor, smart meter, solar panel, substation, transformer, turbine blade, voltage, wind turbine, turbine, photovoltaic, transmission line, gigawatt, power plant, wind farm, blackout",
-    "finance": "audit trail of payments, balance sheet, bank, bank transfer, bond yield, broker fee, cash flow, credit score, currency swap, derivative, dividend, equity, futures price, hedge, inflation, insurance premium, interest rate, invoice, ledger entry, loan book, loan, mortgage, pension fund, portfolio, share capital, shareholder, stock exchange, tax return, treasury, investor, investment, banking, hedge fund, creditor, debtor, stockbroker, fiscal",
-    "food": "allergen list, bakery, breakfast, broth, caterer, cheese, chef, dessert, dough, fermentation, flour, frying pan, garlic, ingredient, kitchen, marinade, nutrition label, olive oil, oven, pastry, portion, recipe, restaurant menu, restaurant, roasting, sauce, seasoning, simmering, sourdough, spice rack, tasting, vegetable stock, cuisine, cooking, appetiser, casserole, soup, salad, gourmet",
-    "law": "appeal, arbitration, attorney, bar exam, case file, compliance duty, contract clause, copyright claim, court filing, court, defendant, evidence bundle, hearing, judge, jurisdiction, lawsuit, legal counsel, legislation, liability, notary, party to the contract, plaintiff, regulation, settlement, statute, tenancy agreement, verdict, witness statement, litigation, barrister, solicitor, jury, prosecutor, tribunal, injunction, affidavit",
-    "medicine": "allergy, anaesthetic, blood cell, blood pressure, cardiology, chronic pain, clinical trial, diagnosis, discharge letter, dosage, immune response, infection, insulin, intensive care, nurse, outbreak, patient, pharmacy, physician, prescription, radiology scan, rehabilitation, surgery, surgeon, symptom, therapy, triage, tumour, tumor, vaccine, ward round, hospital, clinic, antibiotic, oncology, anaemia, paediatrics",
-    "music": "album, bass line, choir, chord, concert, conductor, drummer, encore, guitar, harmony, key signature, lyrics, melody, microphone, orchestra, piano, pitch, playlist, recording studio, rehearsal, rhythm, score sheet, sheet music, songwriter, soprano, synthesizer, tempo, treble, vinyl, violin, symphony, cello, tenor, musician, singer, percussion, sonata",
-    "science": "catalyst, cell culture, chemical reaction, climate model, electron, enzyme, experiment, field study, fossil, galaxy, genome, hypothesis, isotope, laboratory sample, laboratory, microscope, molecule, neutron, observation run, orbit, particle detector, peer review, photon, protein folding, quantum state, sediment core, species, spectrum, telescope, wavelength, physicist, chemistry, biologist, astronomer, spectroscopy, supernova",
-    "software": "API endpoint, backend, build pipeline, code review, compiler, container image, continuous integration, database migration, debugger, dependency upgrade, deployment, feature flag, garbage collector, kernel, linter, load balancer, memory leak, merge request, microservice, null pointer, package manager, race condition, refactoring, regression suite, release branch, rollback, runtime, stack trace, static analysis, thread pool, type checker, unit test, virtual machine, integration test, pull request, frontend, codebase, source control, bug fix",
-    "sport": "athlete, championship, coach, cycling stage, goalkeeper, half-time score, hurdles, lap time, league table, marathon, match fixture, medal, offside, penalty kick, pitch, playoff, referee, relay race, rowing crew, season, sprint finish, stadium, striker, swim meet, team roster, tennis court, tournament, training camp, transfer window, midfielder, footballer, cricket, olympic, semi-final, quarter-final, gymnast",
-    "travel": "airport gate, airport, beach resort, boarding pass, border control, campsite, car rental, city map, cruise, departure lounge, excursion, ferry crossing, guest house, hiking trail, hostel, hotel booking, hotel, itinerary, layover, luggage, night bus, passport, road trip, sightseeing, souvenir, timetable, tour guide, train ticket, travel insurance, visa, tourist, tourism, backpacker, holidaymaker, check-in desk",
-}
-#: Words that make a sentence of the field likely where several of them meet; single ones prove nothing.
-CLUES = {
-    "agriculture": "ewe ewes lamb lambs shorn uphill clover nitrogen frost blossom apple apples maize cows cow fed stunted sow sown ground soil herd grazing ploughed seeds weeks dry ripen rain field fields barn",
-    "education": "parents form tutor marks mark resit written test exam autumn professor slides session children read reading home age nine taught class grade students student learn pupils study year term",
-    "energy": "generators generator coast dark tripped electricity windy nights produced panels panel roof cover cables cable rated volts volt grid power coal gas plant watts building use carried energy",
-    "finance": "borrowers borrower instalments instalment surcharge savers savings deposits deposit prices rose fund funds shares share quarterly results published net profit turnover doubled sold investors money terms market loans debt",
-    "food": "guests nuts intolerance waiter fry onions golden tomatoes thicken tasting course figs honey goat's curd knead cloth rise overnight bake boil stir salt pepper butter dish cook serve simmer minutes",
-    "law": "article signatories waive claim damages tenant terminate landlord deposit writing accused charge argued informed ruling overturned instance court higher lawyer sued guilty trial plea clause contract",
-    "medicine": "admitted fever antibiotics scan fracture wrist plaster jab dose second sixty side effects mild headaches doctor ill disease treated blood pain weeks patients recover wound",
-    "music": "band played songs song stage tuned tone notes note sing movement opens cellos softly clap beat audience tune high two four singing choir choral early instruments",
-    "science": "theory predicts mass measured samples kept minus degrees thawed sequencing astronomers instrument sky faint signal noise plankton counts survey vessel averaged depth temperature researchers physics particles atoms observed",
-    "software": "suite green pinned library cached artefacts bisecting commits commit broken installer ship binary toggle logs code path workers wrote address process crashed starts compile compiled debug release patch bug tests",
-    "sport": "visitors lost players injury interval equalised minute won extra time personal best metres club points halved sides group level finish goal goals scored league match team runner halves",
-    "travel": "changed border reached coast arrive hours early queue security old town walk castle cable car rooms view harbour july flight trip train bus journey station checked guests beach abroad",
+    "agriculture": "agriculture, farm, farmer, farming, farmland, crop, harvest, livestock, cattle, cow, sheep, goat, pig, poultry, hen, herd, flock, barn, stable, pasture, meadow, hay, straw, grain, wheat, barley, oat, rye, maize, rice paddy, soybean, potato field, orchard, vineyard, greenhouse, seed, seedling, sowing, soil, manure, compost, fertilizer, fertiliser, pesticide, herbicide, weed, irrigation, plough, plow, tractor, combine harvester, silo, dairy, milking, shepherd, rancher, ranch, beekeeper, beehive, agronomist, hectare, acre, drought, horticulture, gardener, pruning, fodder, lamb, calf, veterinary",
+    "education": "education, school, teacher, pupil, student, classroom, lesson, homework, exam, examination, grade, curriculum, syllabus, textbook, blackboard, headteacher, principal, kindergarten, nursery school, primary school, secondary school, high school, college, university, campus, faculty, professor, lecturer, lecture, seminar, tutor, tutorial, semester, term paper, thesis, dissertation, diploma, degree, graduate, graduation, undergraduate, scholarship, tuition, enrolment, enrollment, coursework, essay, quiz, spelling, arithmetic, literacy, pedagogy, apprentice, apprenticeship, report card, school year, schoolchildren, detention, dormitory, alumni",
+    "energy": "energy, electricity, electric power, power plant, power station, power grid, power line, grid, generator, turbine, wind turbine, wind farm, solar panel, solar power, photovoltaic, hydroelectric, hydropower, dam, reservoir, reactor, nuclear power, uranium, coal, coal mine, oil, petroleum, natural gas, gas pipeline, pipeline, refinery, fuel, fuel cell, hydrogen, biomass, biogas, geothermal, battery, battery storage, accumulator, charging station, voltage, volt, watt, kilowatt, megawatt, gigawatt, kilowatt hour, ampere, transformer, substation, transmission line, pylon, blackout, power outage, outage, smart meter, electricity meter, heat pump, boiler, district heating, peak load, utility, emission, renewable, feed-in",
+    "finance": "finance, bank, banker, banking, money, currency, exchange rate, cash, coin, banknote, loan, credit, creditor, debt, debtor, mortgage, interest rate, interest, savings, deposit, account balance, investor, investment, fund, hedge fund, pension, pension fund, stock, stock exchange, stock market, share, shareholder, bond, dividend, portfolio, broker, equity, asset, liability, balance sheet, ledger, bookkeeping, accountant, accounting, auditor, audit, budget, invoice, tax, tax return, treasury, inflation, deflation, profit, revenue, turnover, insurance, insurance premium, premium, derivative, futures, yield, cash flow, credit card, credit score, bankruptcy, insolvency, fiscal year",
+    "food": "food, cook, cooking, cuisine, kitchen, recipe, ingredient, dish, meal, breakfast, lunch, dinner, supper, dessert, cake, pastry, pie, bread, dough, flour, yeast, sourdough, baker, bakery, oven, stove, frying pan, saucepan, butter, cheese, cream, egg, sugar, salt, pepper, spice, herb, garlic, onion, tomato, olive oil, vinegar, sauce, soup, broth, stew, salad, roast, grill, steak, sausage, noodle, pasta, chef, waiter, waitress, restaurant, menu, cafe, caterer, catering, tasting, flavour, flavor, seasoning, marinade, appetizer, chocolate, vegetarian, nutrition",
+    "law": "law, lawyer, attorney, solicitor, barrister, judge, court, courtroom, tribunal, jury, juror, trial, lawsuit, litigation, litigant, plaintiff, claimant, defendant, prosecutor, prosecution, verdict, sentence, conviction, acquittal, appeal, appellate, supreme court, evidence, testimony, witness, oath, affidavit, subpoena, injunction, statute, legislation, act of parliament, regulation, constitution, jurisdiction, contract, clause, breach of contract, tort, damages, liability, negligence, settlement, arbitration, mediation, notary, testament, inheritance, copyright, patent, trademark, tenancy, landlord, lease, custody, bail, crime, legal",
+    "medicine": "medicine, medical, doctor, physician, surgeon, nurse, midwife, paramedic, hospital, clinic, ward, patient, outpatient, emergency room, intensive care, surgery, operation, anaesthetic, anesthetic, diagnosis, symptom, disease, illness, infection, fever, cough, virus, bacteria, inflammation, fracture, wound, injury, pain, allergy, asthma, diabetes, insulin, cancer, tumour, tumor, chemotherapy, stroke, heart attack, blood pressure, blood test, x-ray, radiology, vaccine, vaccination, antibiotic, drug, dose, dosage, tablet, pill, prescription, pharmacy, pharmacist, therapy, physiotherapy, rehabilitation, treatment, clinical trial, health care, epidemic, pediatrics, cardiology, oncology, dentist",
+    "music": "music, musician, musical, song, singer, songwriter, lyrics, melody, harmony, rhythm, tempo, chord, note, scale, key signature, treble clef, sheet music, score, composer, composition, conductor, orchestra, symphony, concerto, sonata, opera, choir, chorus, soprano, alto, tenor, baritone, piano, pianist, organ, violin, violinist, viola, cello, double bass, guitar, bass guitar, drum, drummer, percussion, flute, clarinet, oboe, trumpet, trombone, saxophone, harp, synthesizer, band, quartet, concert, encore, rehearsal, recording studio, album, vinyl, playlist, microphone, amplifier, jazz",
+    "science": "science, scientist, scientific, physics, physicist, chemistry, chemist, biology, biologist, astronomy, astronomer, geology, geologist, mathematics, laboratory, experiment, hypothesis, theory, observation, measurement, microscope, telescope, spectrometer, spectrum, wavelength, particle, particle accelerator, atom, electron, proton, neutron, photon, quantum, molecule, compound, chemical reaction, catalyst, enzyme, protein, cell, gene, genome, mutation, evolution, species, organism, bacterium, fossil, sediment, galaxy, star, planet, orbit, comet, gravity, isotope, radiation, thermodynamics, climate model, researcher, research, peer review, field study",
+    "software": "software, program, programmer, programming, developer, source code, codebase, compiler, interpreter, debugger, debugging, bug, bug fix, unit test, integration test, test suite, regression, refactoring, code review, pull request, merge request, merge conflict, commit, branch, repository, version control, release, deployment, rollback, continuous integration, build pipeline, container, virtual machine, server, backend, frontend, database, database migration, query planner, cache, memory leak, stack trace, race condition, deadlock, thread, garbage collector, operating system, kernel, library, framework, package manager, dependency, microservice, endpoint, load balancer, feature flag, linter, type checker, runtime, algorithm, open source",
+    "sport": "sport, athlete, athletics, team, player, coach, trainer, referee, umpire, match, game, tournament, championship, league, cup final, final, season, goal, goalkeeper, striker, midfielder, defender, penalty, penalty kick, offside, football, footballer, soccer, basketball, volleyball, handball, hockey, tennis, cricket, rugby, baseball, golf, boxing, wrestling, gymnastics, gymnast, swimming, swimmer, rowing, sailing, cycling, cyclist, skiing, marathon, sprint, sprinter, hurdle, relay, long jump, high jump, stadium, pitch, court, track, lap, medal, trophy, podium, world record, olympic, olympics, half-time, scoreboard, fan, transfer window, training camp",
+    "travel": "travel, traveller, traveler, journey, trip, tour, tourist, tourism, tour guide, guidebook, holiday, vacation, sightseeing, excursion, itinerary, destination, airport, airline, flight, boarding pass, gate, departure, arrival, layover, luggage, suitcase, backpack, passport, visa, customs, border, border crossing, ticket, train, train station, railway, bus, coach, ferry, cruise, harbour, harbor, port, rental car, car rental, road trip, motorway, map, hotel, hostel, inn, guest house, bed and breakfast, campsite, tent, resort, beach, island, museum, castle, souvenir, reservation, booking, check-in, reception, hiking, hiking trail, timetable",
 }
-#: Turns of speech that use a field's words for something else; they are taken out before anything is counted.
+#: Fixed list of common turns of speech that use a field's words for something else; they are taken out before anything is counted.
 FIGURES = (
-    r"it was a marathon", r"a marathon to \w+", r"the jury is (still )?out", r"(in )?nobody's court but \w+", r"ball is in \w+ court", r"(with )?a (pinch|grain) of salt", r"bumper harvest of \w+", r"strikes? an? (familiar |false )?chord",
-    r"no recipe\b", r"recipe for (disaster|success|trouble)", r"the key of the \w+", r"a healthy \w+ needs", r"down to a science", r"not rocket science", r"rocket science", r"a level playing field", r"change of tempo", r"second fiddle", r"face the music",
-    r"bread and butter", r"food for thought", r"the icing on the cake", r"reap what", r"sow the seeds of", r"a clean bill of health", r"just what the doctor ordered", r"a bitter pill", r"take the pulse", r"power play", r"low-hanging fruit", r"a long journey", r"bank on \w+", r"off the record",
-    r"school of thought", r"learn a lesson", r"(hit|strike) the right note", r"run out of steam", r"full steam ahead", r"move the goalposts", r"drop the ball", r"a whole new ball game", r"on the home straight", r"the acid test", r"litmus test", r"in the same boat", r"invest(ed)? (time|effort) in",
+    r"not rocket science", r"rocket science", r"down to a science", r"an exact science", r"the acid test", r"litmus test", r"a quantum leap", r"level playing field", r"move the goalposts", r"drop(ped|s)? the ball", r"whole new ball ?game", r"ball is in \w+ court", r"hit it out of the park",
+    r"touch(es|ed)? base", r"on the home straight", r"jump(ed|s)? the gun", r"it('s| is| was) a marathon", r"a marathon,? not a sprint", r"second fiddle", r"fac(e|es|ed|ing) the music", r"str(ikes?|uck) an? (\w+ )?chord", r"(hit|strike|struck) the right note", r"change of tempo", r"music to \w+ ears", r"sings? (from )?the same",
+    r"bread and butter", r"food for thought", r"icing on the cake", r"piece of cake", r"(with )?a (pinch|grain) of salt", r"recipe for (disaster|success|trouble)", r"spill the beans", r"bring home the bacon", r"half-baked", r"low-hanging fruit", r"reap what", r"sow the seeds of", r"bumper harvest of", r"make hay", r"needle in a haystack", r"beat around the bush",
+    r"the jury is (still )?out", r"laid? down the law", r"unwritten law", r"judge a book", r"day in court", r"open and shut case", r"clean bill of health", r"just what the doctor ordered", r"a bitter pill", r"take the pulse", r"a shot in the arm", r"a taste of \w+ own medicine", r"school of thought", r"learn(ed|t)? (a|\w+) lesson", r"textbook example", r"old school", r"by the book",
+    r"break the bank", r"bank(ed|s)? on", r"pays? dividends", r"money down the drain", r"invest(ed)? (time|effort) in", r"in the black", r"full steam ahead", r"run out of steam", r"power play", r"off the grid", r"a long journey", r"off the beaten track", r"in the same boat", r"jump on the bandwagon", r"hit the road", r"a bumpy ride",
 )
+#: Fixed: most frequent function words of other languages, and the same fields' everyday words, counted only in sentences of the language.
+OTHER = {
+    "fr": ("le la les l des du de d un une et est en dans que qui pour par sur avec ne pas ce se au aux", {
+        "agriculture": "agriculture agriculteur ferme récolte moisson champ blé bétail vache mouton troupeau tracteur engrais verger vigne semence élevage sol",
+        "education": "école élève étudiant professeur enseignant enseignement classe cours leçon examen université lycée collège diplôme devoir devoirs",
+        "energy": "énergie électricité courant centrale réacteur éolienne barrage panneau solaire batterie réseau tension charbon pétrole turbine",
+        "finance": "finance banque argent crédit prêt dette intérêt action bourse dividende épargne impôt bilan facture hypothèque investisseur",
+        "food": "cuisine cuisinier recette repas plat dessert gâteau pain pâte farine four beurre fromage sauce soupe restaurant épice",
+        "law": "loi droit juge tribunal avocat procès jugement contrat plainte témoin preuve accusé clause notaire justice",
+        "medicine": "médecine médecin hôpital infirmière patient maladie traitement chirurgie diagnostic vaccin ordonnance symptôme fièvre pharmacie",
+        "music": "musique musicien chanson chanteur mélodie rythme orchestre chœur concert piano violon guitare accord partition opéra",
+        "science": "science scientifique physique chimie biologie laboratoire expérience hypothèse molécule atome espèce télescope chercheur recherche",
+        "software": "logiciel programme programmeur programmation développeur code compilateur serveur débogage version déploiement dépôt",
+        "sport": "sport équipe joueur entraîneur arbitre match tournoi championnat but gardien stade course médaille athlète",
+        "travel": "voyage voyageur touriste tourisme hôtel auberge avion vol aéroport gare train billet bagage valise passeport plage excursion",
+    }),
+    "es": ("el la los las de del un una y es en que para por con no se su al lo como más", {
+        "agriculture": "agricultura agricultor granja cosecha cultivo campo trigo ganado vaca oveja rebaño tractor abono huerto viñedo semilla riego suelo",
+        "education": "escuela alumno estudiante profesor maestro maestra enseñanza clase lección examen universidad instituto colegio diploma deberes",
+        "energy": "energía electricidad corriente central reactor aerogenerador presa panel solar batería red tensión voltaje carbón petróleo turbina",
+        "finance": "finanzas banco dinero crédito préstamo deuda interés acción bolsa dividendo ahorro impuesto balance factura hipoteca inversor",
+        "food": "cocina cocinero receta comida plato postre pastel pan masa harina horno mantequilla queso salsa sopa restaurante especia",
+        "law": "ley derecho juez tribunal abogado juicio sentencia contrato demanda testigo prueba acusado cláusula notario justicia",
+        "medicine": "medicina médico hospital enfermera paciente enfermedad tratamiento cirugía diagnóstico vacuna receta síntoma fiebre farmacia",
+        "music": "música músico canción cantante melodía ritmo orquesta coro concierto piano violín guitarra acorde partitura ópera",
+        "science": "ciencia científico física química biología laboratorio experimento hipótesis molécula átomo especie telescopio investigador investigación",
+        "software": "software programa programador programación desarrollador código compilador servidor depuración versión despliegue repositorio",
+        "sport": "deporte equipo jugador entrenador árbitro partido torneo campeonato gol portero estadio carrera medalla atleta",
+        "travel": "viaje viajero turista turismo hotel hostal avión vuelo aeropuerto estación tren billete equipaje maleta pasaporte playa excursión",
+    }),
+    "de": ("der die das den dem des ein eine einen einer und ist in im zu mit von auf für nicht sich auch als wird", {
+        "agriculture": "landwirtschaft landwirt bauer bauernhof ernte acker feld weizen vieh kuh schaf herde traktor dünger obstgarten weinberg saatgut bewässerung",
+        "education": "schule schüler schülerin student lehrer lehrerin unterricht klasse lektion prüfung universität hochschule gymnasium zeugnis hausaufgabe vorlesung",
+        "energy": "energie strom elektrizität kraftwerk reaktor windrad windkraft staudamm solaranlage batterie stromnetz spannung kohle erdöl turbine umspannwerk",
+        "finance": "bank geld kredit darlehen schulden zins zinsen aktie börse dividende sparen steuer bilanz rechnung hypothek anleger konto",
+        "food": "küche koch rezept mahlzeit gericht nachtisch kuchen brot teig mehl ofen butter käse soße suppe restaurant gewürz",
+        "law": "gesetz recht richter richterin gericht anwalt anwältin prozess urteil vertrag klage zeuge beweis angeklagter klausel notar justiz",
+        "medicine": "medizin arzt ärztin krankenhaus klinik krankenschwester patient patientin krankheit behandlung chirurgie diagnose impfstoff impfung rezept symptom fieber apotheke",
+        "music": "musik musiker lied sänger sängerin melodie rhythmus orchester chor konzert klavier geige gitarre akkord partitur oper",
+        "science": "wissenschaft wissenschaftler physik chemie biologie labor experiment versuch hypothese molekül atom teleskop forscher forschung messung",
+        "software": "software programm programmierer programmierung entwickler quelltext compiler server fehlersuche version bereitstellung repository",
+        "sport": "sport mannschaft spieler trainer schiedsrichter spiel turnier meisterschaft tor torwart stadion rennen medaille athlet",
+        "travel": "reise reisender tourist tourismus hotel herberge flugzeug flug flughafen bahnhof zug fahrkarte gepäck koffer reisepass strand ausflug",
+    }),
+}
 
 
 def terms() -> dict[str, tuple[str, ...]]:
@@ -48,57 +84,3 @@ def terms() -> dict[str, tuple[str, ...]]:
         for t in all_.split(","):
             out[t.strip().lower()] = (*out.get(t.strip().lower(), ()), s)
     return out
-
-
-def clues() -> dict[str, tuple[str, ...]]:
-    """word -> subjects."""
-    out: dict[str, tuple[str, ...]] = {}
-    for s, ws in CLUES.items():
-        for w in ws.split():
-            out[w] = (*out.get(w, ()), s)
-    return out
-#: The same in other languages, counted only in sentences of that language: (marks of the language, subject -> words).
-OTHER = {
-    "fr": ("le la les des du un une est dans sans chaque reste sur voir et d'un qui que pour", {
-        "agriculture": "récolte bétail engrais arrosage tracteur blé ferme moisson élevage semence verger vigne agriculteur labour troupeau",
-        "education": "élève matière institutrice université école lycée professeur cours examen enseignement classe étudiant devoir diplôme rentrée",
-        "energy": "éolienne batterie centrale transformateur tension électricité réacteur réseau panneau turbine courant barrage",
-        "finance": "action bilan hypothèque intérêt prêt banque dividende facture bourse épargne trésorerie portefeuille crédit",
-        "food": "cuisine dessert four pâte épice recette farine boulangerie plat fromage sauce repas cuisson ail",
-        "law": "contrat juge jugement plainte responsabilité tribunal avocat loi procès témoin litige notaire clause",
-        "medicine": "chirurgie diagnostic ordonnance patiente patient vaccin médecin infirmière hôpital maladie traitement symptôme",
-        "music": "chorale concert guitare mélodie orchestre piano violon chanson partition rythme musicien accord",
-        "science": "espèce hypothèse laboratoire molécule télescope expérience chercheur galaxie électron physique chimie",
-        "software": "compilation débogage déploiement dépôt serveur logiciel programme compilateur correctif version",
-        "sport": "arbitre course gardien médaille tournoi match équipe joueur championnat stade entraîneur but",
-        "travel": "auberge bagage passeport vol excursion voyage hôtel touriste billet train séjour croisière plage",
-    }),
-    "es": ("el la los las del un una es en sin cada campo queda sobre se y para que véase con", {
-        "agriculture": "cosecha ganado abono riego tractor trigo granja cultivo siembra huerto viñedo agricultor rebaño",
-        "education": "alumno asignatura examen maestra universidad escuela profesor clase enseñanza estudiante deberes diploma curso",
-        "energy": "aerogenerador batería central subestación voltaje electricidad reactor red turbina corriente presa panel",
-        "finance": "acción balance hipoteca interés préstamo banco dividendo factura bolsa ahorro tesorería cartera crédito",
-        "food": "cocina especia horno masa postre receta harina panadería plato queso salsa comida ajo",
-        "law": "contrato demanda jueza juez jurisdicción sentencia tribunal abogado ley juicio testigo litigio notario cláusula",
-        "medicine": "cirugía diagnóstico paciente receta vacuna médico enfermera hospital enfermedad tratamiento síntoma",
-        "music": "concierto coro guitarra melodía orquesta piano violín canción partitura ritmo músico acorde",
-        "science": "especie hipótesis laboratorio molécula telescopio experimento investigador galaxia electrón física química",
-        "software": "compilación depuración despliegue repositorio servidor software programa compilador parche versión",
-        "sport": "carrera medalla portero torneo árbitro partido equipo jugador campeonato estadio entrenador gol",
-        "travel": "equipaje excursión hostal pasaporte vuelo viaje hotel turista billete tren estancia crucero playa",
-    }),
-    "de": ("die der das den dem ein eine einer ist ohne jede jeder bleibt für und zu zur im wurde gehört siehe leer nicht", {
-        "agriculture": "ernte traktor dünger vieh bewässerung weizen bauernhof acker saat obstgarten weinberg landwirt landwirtschaft herde weide stall viehzucht heu saatgut",
-        "education": "schüler schülerin lehrer lehrerin schulfach fach prüfung universität unterricht schule klasse student zeugnis hausaufgabe klausur vorlesung lehrplan schulklasse seminar stundenplan hochschule",
-        "energy": "kraftwerk umspannwerk spannung batterie windrad strom stromnetz reaktor turbine solarmodul transformator windkraftanlage staudamm solarzelle heizung stromzähler leitung",
-        "finance": "darlehen aktie bilanz zins zinsen hypothek bank dividende rechnung börse kredit konto fonds zinssatz überweisung sparbuch anleihe",
-        "food": "küche teig ofen gewürz nachtisch rezept mehl bäckerei gericht käse soße backofen knoblauch nachspeise sauerteig speisekarte koch suppe zutat",
-        "law": "vertrag richterin richter urteil klage haftung gericht anwalt gesetz prozess zeuge notar klausel gerichtsstand zuständigkeit gesetzestext paragraf kanzlei verfahren",
-        "medicine": "patient patientin impfstoff impfung diagnose operation chirurgie arzt ärztin krankenhaus krankheit behandlung symptom narkose spritze klinik befund",
-        "music": "konzert geige tonleiter chorprobe orchester melodie chor gitarre klavier lied partitur takt musiker sängerin trommel notenblatt",
-        "science": "molekül labor hypothese teleskop spezies tierart experiment forscher galaxie elektron physik chemie versuch versuchsreihe messreihe messung forschung fernrohr mikroskop",
-        "software": "server kompilierung fehlersuche bereitstellung repository software programm übersetzer quelltext auslieferung rechenzentrum testlauf entwicklung schnittstelle",
-        "sport": "turnier schiedsrichter medaille torwart torhüter rennen wettlauf spiel mannschaft spieler meisterschaft stadion trainer lauf spieltag tabelle staffellauf tor liga",
-        "travel": "herberge gepäck reisepass flug ausflug reise hotel tourist fahrkarte zug aufenthalt kreuzfahrt strand koffer bahnreise fähre hotelzimmer urlaub grenze",
-    }),
-}

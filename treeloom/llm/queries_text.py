@@ -19,7 +19,7 @@ def p8_fill(spark, sf_dir):
 
 
 def _subjects(spark, sf_dir):
-    return subjects.document_subjects(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "subjects"))
+    return subjects.document_subjects(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
 
 
 def p10_found(spark, sf_dir):

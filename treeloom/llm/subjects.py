@@ -1,15 +1,17 @@
-"""Subject areas of documents: labelling functions over sentences, joined by a latent model that learns how far to trust each.
+"""Subject areas of documents: labelling functions over paragraphs, joined by a latent model that learns how far to trust each.
 
-The functions vote per paragraph and subject:
-* terms: two different phrases of the subject's lexicon (or of its lexicon in the sentence's own language) in sentences that
+The functions vote per paragraph and subject, or abstain:
+* terms: two different phrases of the subject's seed lexicon (or of its lexicon in the sentence's own language) in sentences that
   speak of something, told from set phrases of the page by a word model;
 * words: a sentence with several words that, in the collection, keep to paragraphs of the subject;
-* clues: a sentence with several words of the bundled clue list, none of another subject as strong;
-* heading: a section whose heading names a term of the subject, over a paragraph with one.
-Words are counted per provisional class, and vote patterns for the accuracies of the functions, over all documents: each task
-adds up what it has and the sums meet by class and word. Words counted less than ``LEAST`` times in all stay with the executors;
-the learned tables are broadcast. Votes are cast once for every document and kept, as pairs of a document and a subject with the
-patterns they had, for the posteriors that follow.
+* section: a heading that names a term of the subject, over a paragraph with one;
+* address: a link, mail address or path in the paragraph that names a term of the subject;
+* source: a source most of whose documents deal with the subject, for paragraphs with a term or a word of it.
+Words are counted over all documents in the paragraphs the lexicon alone is sure about, so that the collection and not the lexicon
+says which words speak for a subject, and which of the lexicon's don't. Each task adds up what it has and the sums meet by class
+and word; words below ``LEAST`` and ``FLOOR`` stay with the executors, so the learned tables that are broadcast hold at most a
+sentence's words over ``FLOOR``. Votes are cast once for every document and kept as narrow rows, for the source shares, the
+accuracies and the posteriors that follow. Hand labels, where given, bound how often a function may vote falsely.
 """
 
 from __future__ import annotations
@@ -22,26 +24,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.lexicon import FIGURES, OTHER, clues, terms
-from treeloom.session import materialize
+from treeloom.llm.lexicon import FIGURES, OTHER, TERMS, terms
+from treeloom.llm.winners import hash_sample
+from treeloom.session import BROADCAST_ROWS, materialize
 
-#: A word speaks for anything from this count on. Counts that a task holds before it passes them on.
-LEAST, HELD = 5, 200_000
+#: A word speaks for anything from this count and this share of all sentences on. Counts that a task holds before it passes them on.
+LEAST, FLOOR, HELD = 5, 1e-6, 200_000
 #: A word keeps to a subject from this log ratio over any other class on; a sentence needs two such words and this sum of ratios,
-#: of which one counts up to the cap; or this many words of the clue list.
-KEEPS, KEPT_SUM, KEPT_CAP, CLUE_WORDS = 0.7, 4.5, 3.5, 4
+#: of which one counts up to the cap.
+KEEPS, KEPT_SUM, KEPT_CAP = 0.7, 4.5, 3.5
+#: False votes of a function per paragraph and subject at most, where no hand labels bound them.
+FALSE = 0.02
+#: A source speaks for a subject from this many documents and this share of them on.
+SOURCE_DOCUMENTS, SOURCE_SHARE = 20, 0.5
+#: Hand labels that are read at most (chosen by hash); they bound false votes only.
+LABELLED = 20_000
 
 _FENCE = re.compile(r"^[ \t>]*(?:[-*] )?(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)", re.S | re.M)
 _CODE_LINE = re.compile(r"^(?: {4,}|\t).*$|^> .*[=(){};].*$|^.*[;{}]\s*$", re.M)
 _TICKS = re.compile(r"`[^`\n]*`")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_FUNCTIONS = ("terms", "words", "clues", "heading")
-_PATTERNS = [(a, b, c, d) for a in (0, 1) for b in (0, 1) for c in (0, 1) for d in (0, 1)]
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w/.])(?:[\w.-]+/){2,}[\w.-]*")
+_FUNCTIONS = ("terms", "words", "section", "address", "source")
+#: The votes of the functions that read a text, as one number; the vote of the source is added to it afterwards.
+_SOURCE_BIT, _PATTERNS = 1 << 4, range(1 << 5)
 
 
-def paragraphs(text: str) -> list[tuple[str, list[str]]]:
-    """(heading, sentences) of each paragraph of prose; code, quoted code and inline code are left out."""
+def paragraphs(text: str) -> list[tuple[str, list[str], list[str]]]:
+    """(heading, sentences, addresses) of each paragraph of prose; code, quoted code and inline code are left out."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _TICKS.sub(" ", _CODE_LINE.sub("", _FENCE.sub("\n\n", text)))
     out, heading = [], ""
@@ -53,7 +64,10 @@ def paragraphs(text: str) -> list[tuple[str, list[str]]]:
             first, _, lines = lines.partition("\n")
             heading = first.lstrip("# ")
         if lines.strip():
-            out.append((heading, [s for s in _SENTENCE.split(lines) if s.strip()]))
+            links = _ADDRESS.findall(lines) if "/" in lines or "@" in lines or "www." in lines else []
+            for x in links:
+                lines = lines.replace(x, " ")
+            out.append((heading, [s for s in _SENTENCE.split(lines) if s.strip()], links))
     return out
 
 
@@ -70,7 +84,8 @@ def _forms(phrase: str):
 #: Each turn of speech under its longest plain word: a sentence with that word is searched for the turn.
 _FIGURE_AT: dict[str, re.Pattern] = {}
 for _f in FIGURES:
-    _w = max(re.findall(r"(?<![a-z'])[a-z]{2,}(?![a-z'])", re.sub(r"\\\w|\([^)]*\)\??", " ", _f)), key=lambda w: (w != "the", len(w)))
+    _plain = [w for w in re.findall(r"(?<![a-z'(|])[a-z]{2,}(?![a-z'|)?])", re.sub(r"\\\w|\([^)]*\)\??", " ", _f))]
+    _w = max(_plain, key=lambda w: (w != "the", len(w)))
     _FIGURE_AT[_w] = re.compile(f"{_FIGURE_AT[_w].pattern}|(?:{_f})" if _w in _FIGURE_AT else f"(?:{_f})")
 
 
@@ -92,7 +107,6 @@ class Lexicon:
                 for w in ws.split():
                     for form in _forms(w):
                         self.other[form].append((lang, subject))
-        self.clues = clues()
         self.known = set(self.first) | set(self.other)
 
     def read(self, sentence: str) -> tuple[list[tuple[str, str]], list[str]]:
@@ -133,76 +147,81 @@ class Lexicon:
 
 
 class Model:
-    """The learned tables: how much a word speaks for page phrases, which words keep to a subject, trust in vote patterns."""
+    """The learned tables: how much a word speaks for page phrases, and which words keep to a subject."""
 
     def __init__(self):
         self.talk: dict[str, float] = {}
         self.keeps: dict[str, tuple[str, float]] = {}
-        self.trust: dict[tuple[int, ...], float] = {}
-        self._told: tuple[dict[str, tuple[float, str | None, float, tuple[str, ...]]], set[str]] | None = None
+        self.weak: set[tuple[str, str]] = set()
+        self._told: tuple[dict[str, tuple[float, str | None, float]], set[str]] | None = None
 
-    def told(self, lex: Lexicon) -> tuple[dict[str, tuple[float, str | None, float, tuple[str, ...]]], set[str]]:
-        """(what is known of a word: its lean to speech, the subject it keeps to, the subjects it is a clue for; words that can vote)."""
+    def told(self, lex: Lexicon) -> tuple[dict[str, tuple[float, str | None, float]], set[str]]:
+        """(what is known of a word: its lean to speech, the subject it keeps to, how much; words that can vote)."""
         if self._told is None:
-            words = {w for w in (*self.talk, *self.keeps, *lex.clues) if len(w) > 2}
-            told = {w: (self.talk.get(w, 0.0), *self.keeps.get(w, (None, 0.0)), lex.clues.get(w, ())) for w in words}
-            self._told = told, lex.known | {w for w, (_, k, _, c) in told.items() if k or c}
+            words = {w for w in (*self.talk, *self.keeps) if len(w) > 2}
+            told = {w: (self.talk.get(w, 0.0), *self.keeps.get(w, (None, 0.0))) for w in words}
+            self._told = told, lex.known | {w for w, (_, k, _) in told.items() if k}
         return self._told
 
 
-def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, tuple[int, ...]]]:
-    """For each paragraph: subject -> votes of the functions (0 or 1 in the order of _FUNCTIONS); subjects without any are absent."""
+def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
+    """For each paragraph: subject -> votes of the functions that read a text, as bits in the order of _FUNCTIONS.
+
+    A subject with a term or kept word but no vote has 0; subjects without either are absent.
+    """
     out = []
     told, live = model.told(lex)
-    for heading, sentences in paragraphs(text):
+    weak = model.weak
+    for heading, sentences, links in paragraphs(text):
         seen: dict[str, set] = defaultdict(set)
-        by_words, by_clues = set(), set()
+        by_words, touched = set(), set()
         for s in sentences:
             words = lex.words(s)
             if live.isdisjoint(words):
                 continue
             found, rest = lex.match(words)
-            score, kept, clue, many = 0.0, {}, {}, {}
-            for w in told.keys() & rest:
-                t, k, weight, c = told[w]
-                score += t
+            score, kept, many = 0.0, {}, {}
+            for w in told.keys() & words:
+                t, k, weight = told[w]
+                if w in rest:
+                    score += t
                 if k:
                     kept[k] = kept.get(k, 0.0) + weight
                     many[k] = many.get(k, 0) + 1
-                for subject in c:
-                    clue[subject] = clue.get(subject, 0) + 1
             if found and score > -1.0:
                 for subject, term in found:
-                    seen[subject].add(term)
+                    if (subject, term) not in weak:
+                        seen[subject].add(term)
             if kept:
                 subject = max(kept, key=kept.get)
-                if kept[subject] >= KEPT_SUM and (many[subject] > 1 or any(f[0] == subject for f in found)):
+                touched.add(subject)
+                if kept[subject] >= KEPT_SUM and many[subject] > 1 and score > -1.0:
                     by_words.add(subject)
-            if clue:
-                n = max(clue.values())
-                if n >= CLUE_WORDS and score > -1.0:
-                    top = [x for x, m in clue.items() if m == n]
-                    if len(top) == 1:
-                        by_clues.add(top[0])
         named = {subject for subject, _ in lex.read(heading)[0]} if heading else set()
-        subjects = {s for s, t in seen.items() if len(t) >= 2} | by_words | by_clues | (named & set(seen))
-        out.append({s: (int(len(seen.get(s, ())) >= 2), int(s in by_words), int(s in by_clues), int(s in named and s in seen)) for s in subjects})
+        linked = {subject for x in links for subject, _ in lex.read(re.sub(r"[\W_]+", " ", x))[0]}
+        bits, used = {}, set()
+        for s in sorted(seen, key=lambda x: (-len(seen[x]), x)):  # a word of two fields is evidence for the one with more of them
+            seen[s] = seen[s] - used
+            used |= seen[s]
+        for s in seen.keys() | by_words | touched | linked:
+            bits[s] = (len(seen.get(s, ())) >= 2) | (s in by_words) << 1 | (s in named and (s in seen or s in touched)) << 2 | (s in linked) << 3
+        out.append(bits)
     return out
 
 
 def count_words(text: str, lex: Lexicon, counts: Counter) -> None:
     """Add the sentences of paragraphs the lexicon alone is sure about: (class, word) counts, under the word "" the sentences."""
-    for _, sentences in paragraphs(text):
-        read = [lex.read(s) for s in sentences]
+    for _, sentences, _ in paragraphs(text):
+        read = [lex.words(s) for s in sentences]
         count: dict[str, set] = defaultdict(set)
-        for found, _ in read:
-            for subject, term in found:
+        for words in read:
+            for subject, term in lex.match(words)[0]:
                 count[subject].add(term)
         best = max(count.items(), key=lambda x: len(x[1]), default=("", ()))
         name = best[0] if len(best[1]) >= 3 else "none" if len(best[1]) <= 1 else None
         if name:
-            for _, rest in read:
-                counts.update((name, w) for w in {w for w in rest if len(w) > 2})
+            for words in read:
+                counts.update((name, w) for w in set(words) if len(w) > 2)
             counts[name, ""] += len(read)
 
 
@@ -222,6 +241,7 @@ def word_tables(counts: dict[tuple[str, str], int]) -> tuple[Model, list[str]]:
     about: Counter = Counter()
     for s in subjects:
         about.update(of[s])
+    fields = terms()
     n_about, n_none = sum(sizes[s] for s in subjects), sizes["none"]
     for w, n in (about + of["none"]).items():
         if n < LEAST:
@@ -233,30 +253,42 @@ def word_tables(counts: dict[tuple[str, str], int]) -> tuple[Model, list[str]]:
         rates = sorted(((of[s][w] + 0.5) / (sizes[s] + 50), s) for s in subjects)
         top, rival = rates[-1], rates[-2][0] if len(rates) > 1 else 0.0
         weight = math.log(top[0] / max(rival, (of["none"][w] + 0.5) / (n_none + 50)))
+        for s in fields.get(w, ()):
+            if s in sizes and math.log((of[s][w] + 0.5) / (sizes[s] + 50) / ((of["none"][w] + 0.5) / (n_none + 50))) < KEEPS:
+                model.weak.add((s, w))
         if weight >= KEEPS and of[top[1]][w] >= 4:
             model.keeps[w] = (top[1], min(KEPT_CAP, weight))
     return model, subjects
 
 
-def trusted(patterns: Counter, paragraphs_: int, subjects: list[str]) -> dict[tuple[int, ...], float]:
-    """Trust in every pattern of votes, from the patterns met; a paragraph that no function votes on counts for each subject."""
-    patterns = Counter(patterns)
-    patterns[(0,) * len(_FUNCTIONS)] += max(0, paragraphs_ * len(subjects) - sum(patterns.values()))
-    return _accuracies(patterns)
+def accuracies(patterns: Counter, most: list[float] | None = None, rounds: int = 60) -> list[float]:
+    """Posterior of the subject for every pattern of votes: a two-class model with independent functions, fitted by EM.
 
+    A latent model knows its classes only by the functions; they are told apart by where it starts, and by ``most``, the rates of
+    false votes per function that hand labels allow (``FALSE`` without labels). Everything else is free.
+    """
+    m = len(_FUNCTIONS)
+    most = most or [FALSE] * m
+    prior, hit, false = 0.05, [0.8, 0.8, 0.1, 0.1, 0.2], [x / 2 for x in most]
 
-def fit(texts: list[str]) -> Model:
-    """Word tables from paragraphs the lexicon alone is sure about, then accuracies of the functions by expectation maximisation."""
-    lex, counts, patterns, total = Lexicon(), Counter(), Counter(), 0
-    for text in texts:
-        count_words(text, lex, counts)
-    model, subjects = word_tables(counts)
-    for text in texts if subjects else ():
-        for by in votes(text, lex, model):
-            total += 1
-            patterns.update(by.values())
-    model.trust = trusted(patterns, total, subjects) if subjects else _accuracies(Counter())
-    return model
+    def posterior(v: int) -> float:
+        a, b = prior, 1 - prior
+        for k in range(m):
+            a *= hit[k] if v >> k & 1 else 1 - hit[k]
+            b *= false[k] if v >> k & 1 else 1 - false[k]
+        return a / (a + b)
+
+    for _ in range(rounds if sum(patterns.values()) else 0):
+        weight = {v: posterior(v) for v in patterns}
+        yes = sum(n * weight[v] for v, n in patterns.items())
+        no = sum(n * (1 - weight[v]) for v, n in patterns.items())
+        if yes < 1 or no < 1:
+            break
+        prior = yes / (yes + no)
+        for k in range(m):
+            hit[k] = (sum(n * weight[v] * (v >> k & 1) for v, n in patterns.items()) + 0.5) / (yes + 1)
+            false[k] = min(most[k], (sum(n * (1 - weight[v]) * (v >> k & 1) for v, n in patterns.items()) + 0.5) / (no + 1))
+    return [posterior(v) for v in _PATTERNS]
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -281,85 +313,77 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _word_counts(docs: DataFrame) -> dict[tuple[str, str], int]:
-    """Counts of the words met ``LEAST`` times, whatever their classes; of the sentences always."""
-    by_word = _counted(docs).groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("name", "n")).alias("by"))
-    return {(c["name"], r["word"]): c["n"] for r in by_word.where((F.col("all") >= LEAST) | (F.col("word") == "")).toLocalIterator() for c in r["by"]}
+    """Counts of the words met ``LEAST`` times and in ``FLOOR`` of all sentences, whatever their classes; of the sentences always."""
+    counted = materialize(_counted(docs), "word-counts")
+    sentences = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    by_word = counted.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("name", "n")).alias("by"))
+    return {(c["name"], r["word"]): c["n"] for r in by_word.where((F.col("all") >= max(LEAST, FLOOR * sentences)) | (F.col("word") == "")).toLocalIterator() for c in r["by"]}
 
 
-def _accuracies(patterns: Counter, rounds: int = 40) -> dict[tuple[int, ...], float]:
-    """Posterior of the subject for every pattern of votes: a two-class model with independent functions, fitted by EM.
+def _cast(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, subject, pattern, n, lead): how many paragraphs had a pattern of votes; one row with a vote leads.
 
-    A latent model knows its classes only by the functions, so each is anchored: rates of false votes stay below what a function
-    of its kind gives on prose of another subject (two different phrases of a field hardly ever meet by chance, a clue list may),
-    and half the paragraphs of a subject at least must show its terms.
+    A document has also one row without subject, of which n counts its paragraphs.
     """
-    m = len(_FUNCTIONS)
-    prior, hit, false = 0.05, [0.8, 0.5, 0.4, 0.1], [0.0004, 0.0004, 0.004, 0.002]
-    least, most = (0.5, 0.2, 0.1, 0.02), (0.0005, 0.0005, 0.006, 0.004)
-
-    def posterior(v):
-        a, b = prior, 1 - prior
-        for k in range(m):
-            a *= hit[k] if v[k] else 1 - hit[k]
-            b *= false[k] if v[k] else 1 - false[k]
-        return a / (a + b)
-
-    for _ in range(rounds if sum(patterns.values()) else 0):
-        weight = {v: posterior(v) for v in patterns}
-        yes = sum(n * weight[v] for v, n in patterns.items())
-        no = sum(n * (1 - weight[v]) for v, n in patterns.items())
-        if yes < 1 or no < 1:
-            break
-        prior = min(0.5, max(0.02, yes / (yes + no)))
-        for k in range(m):
-            hit[k] = min(0.9, max(least[k], sum(n * weight[v] * v[k] for v, n in patterns.items()) / yes))
-            false[k] = min(most[k], max(0.0001, sum(n * (1 - weight[v]) * v[k] for v, n in patterns.items()) / no))
-    return {v: posterior(v) for v in _PATTERNS}
-
-
-def _number(pattern: tuple[int, ...]) -> int:
-    """The place of a pattern in ``_PATTERNS``."""
-    return int("".join(map(str, pattern)), 2)
-
-
-def document_subjects(docs: DataFrame, subjects: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, subject, posterior): each subject of ``subjects`` that at least one paragraph of the document deals with.
-
-    The posterior is the highest of its paragraphs. Null, empty and subjectless texts give no row; repeated rows give their
-    pairs again; texts of any length are read whole. Subjects without a lexicon here get no documents.
-    """
-    spark = docs.sparkSession
-    known = {r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()}
-    fitted, met = word_tables(_word_counts(docs))
-    model = spark.sparkContext.broadcast(fitted)
-    shape = [("doc_id", pa.int64()), ("subject", pa.string()), ("patterns", pa.int32()), ("pattern", pa.int32()), ("n", pa.int64())]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[] for _ in shape]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape, strict=True)], [n for n, _ in shape])
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    shape = [("doc_id", pa.int64()), ("source", pa.string()), ("subject", pa.string()), ("pattern", pa.int32()), ("n", pa.int32()), ("lead", pa.int32())]
 
     def run(batches):
         lex, m = Lexicon(), model.value
-        counts: Counter = Counter()
         for b in batches:
-            out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                had: dict[str, int] = {}
-                for by in votes(t, lex, m) if t else ():
-                    counts[-1] += 1
-                    for s, v in by.items():
-                        k = _number(v)
-                        counts[k] += 1
-                        had[s] = had.get(s, 0) | 1 << k
-                if d is not None:
-                    out += [(d, s, p, None, None) for s, p in had.items() if s in known]
-            yield batch(out)
-        yield batch([(None, None, None, k, n) for k, n in counts.items()])  # -1: paragraphs
-
-    kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, subject string, patterns int, pattern int, n long")
-    kept = materialize(kept, "votes")
-    counts = {r[0]: r[1] for r in kept.where("pattern is not null").groupBy("pattern").agg(F.sum("n")).collect()}
-    total = counts.pop(-1, 0)
-    trust = trusted(Counter({v: counts[_number(v)] for v in _PATTERNS if _number(v) in counts}), total, met) if met else _accuracies(Counter())
-    best = F.greatest(*[F.when(F.col("patterns").bitwiseAND(1 << _number(v)) != 0, F.lit(p)).otherwise(0.0) for v, p in trust.items()])
-    return kept.where("subject is not null").select("doc_id", "subject", best.alias("posterior")).where(F.col("posterior") >= threshold).withColumn("posterior", F.round("posterior", 6))
+            out: list[tuple] = []
+            for d, source, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                had: Counter = Counter()
+                by_paragraph = votes(t, lex, m) if t else []
+                for bits in by_paragraph:
+                    had.update(bits.items())
+                led: set[str] = set()
+                for (s, v), n in had.items():
+                    out.append((d, source, s, v, n, int(v > 0 and s not in led)))
+                    if v:
+                        led.add(s)
+                out.append((d, source, None, None, len(by_paragraph), 1))
+            cols = list(zip(*out, strict=True)) or [[] for _ in shape]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape, strict=True)], [n for n, _ in shape])
+
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text").mapInArrow(run, "doc_id long, source string, subject string, pattern int, n int, lead int")
+
+
+def _false_rates(kept: DataFrame, labels: DataFrame, subjects: int) -> list[float] | None:
+    """Upper bounds of false votes per paragraph and subject, from documents labelled by hand; None without labels."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "subject").where("doc_id is not null and subject is not null")
+    named = F.broadcast(hash_sample(rows, "doc_id", LABELLED, rows.count()).groupBy("doc_id").agg(F.collect_set("subject").alias("names")))
+    j = kept.join(named, "doc_id").withColumn("wrong", ~F.array_contains("names", F.col("subject")))
+    bits = [F.sum(F.when(F.col("wrong") & (F.col("pattern").bitwiseAND(1 << k) != 0), F.col("n")).otherwise(0)).alias(f) for k, f in enumerate(_FUNCTIONS)]
+    r = j.agg(*bits, F.sum(F.when(F.col("subject").isNull(), F.col("n") * (subjects - F.size("names")))).alias("pairs")).first()
+    if not r["pairs"]:
+        return None
+    return [min(0.2, (r[f] + 2 * math.sqrt(r[f]) + 3) / (r["pairs"] + 3)) for f in _FUNCTIONS]
+
+
+def document_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, subject, posterior): each subject of ``subjects`` that at least one paragraph of the document deals with.
+
+    docs: (doc_id, text[, source]); labels: (doc_id, subject) by hand. The posterior is the highest of its paragraphs. Null, empty and
+    subjectless texts give no row; repeated rows of a document count as one; texts of any length are read whole. Subjects without
+    a lexicon here get no documents. A null source speaks for nothing, and no source decides alone.
+    """
+    known = subjects.select("subject").where(F.col("subject").isin(*TERMS)).distinct()  # as many as there are lexicons
+    model, met = word_tables(_word_counts(docs))
+    kept = materialize(_cast(docs, model), "votes")
+    per = kept.where("subject is null and source is not null").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("paragraphs"))
+    speak = kept.where("subject is not null and source is not null").groupBy("source", "subject").agg(F.sum("lead").alias("leads")).join(per, "source")
+    speak = materialize(speak.where((F.col("docs") >= SOURCE_DOCUMENTS) & (F.col("leads") >= SOURCE_SHARE * F.col("docs"))).select("source", "subject", "paragraphs"), "sources")
+    said = F.broadcast if speak.count() <= BROADCAST_ROWS else (lambda x: x)
+    kept = kept.join(said(speak.select("source", "subject", F.lit(_SOURCE_BIT).alias("bit"))), ["source", "subject"], "left")
+    kept = kept.withColumn("pattern", F.col("pattern") + F.coalesce("bit", F.lit(0)))
+    counts = Counter({r[0]: r[1] for r in kept.groupBy("pattern").agg(F.sum("n")).collect()})
+    total = counts.pop(None, 0)
+    quiet = (speak.agg(F.sum("paragraphs")).first()[0] or 0) - sum(n for v, n in counts.items() if v & _SOURCE_BIT)
+    counts[_SOURCE_BIT] += max(0, quiet)
+    counts[0] += max(0, total * len(TERMS) - sum(counts.values()))
+    trust = accuracies(counts, _false_rates(kept, labels, len(TERMS)) if labels is not None else None)
+    best = F.element_at(F.array(*[F.lit(p) for p in trust]), F.col("pattern") + 1)
+    found = kept.where("subject is not null and doc_id is not null and (pattern & 15) <> 0").join(F.broadcast(known), "subject", "left_semi")
+    return found.groupBy("doc_id", "subject").agg(F.round(F.max(best), 6).alias("posterior")).where(F.col("posterior") >= threshold)

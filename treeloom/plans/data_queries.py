@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.functions.records import strip, uuid_key
+from treeloom.functions.records import latest, strip, uuid_key
 from treeloom.operators import hierarchy, orphans, snapshot_changes
-from treeloom.session import broadcast_if_small
+from treeloom.session import broadcast_if_small, materialize, shared_dir
 from treeloom.sources import project as P
+from treeloom.sources.keyed import buckets_for
 
 
 def _trees(spark: SparkSession, sf_dir: str, label: str | None = None) -> DataFrame:
@@ -37,36 +41,56 @@ def p3_cycles(spark, sf_dir):
     return _trees(spark, sf_dir).where("depth = -1").groupBy(F.col("root_id").alias("cycle_id")).agg(F.count("*").alias("symbols"))
 
 
-def _orphan_state(spark, sf_dir):
+#: Batches that the history of references and targets is moved through the state in.
+_PERIODS = 3
+
+
+def _orphans(spark, sf_dir):
+    """The orphans after the whole history went through the keyed state, period by period."""
     T = lambda n: P.table(spark, sf_dir, n)
 
     def refs(name, col, target):
         r = T(name).select(uuid_key("id").alias("record_id"), uuid_key(col).alias("target_id"), F.col("recorded_at").alias("referred_at"))
         r = r.where("record_id is not null").groupBy("record_id").agg(F.min(F.struct(F.coalesce("referred_at", F.lit("9999-12-31").cast("timestamp")).alias("o"), F.col("target_id"), F.col("referred_at"))).alias("_r"))
-        return r.select(F.lit(name).alias("table_name"), "record_id", F.lit(target).alias("target_table"), F.col("_r.target_id").alias("target_id"), F.col("_r.referred_at").alias("referred_at"))
+        return r.select(F.lit(name).alias("table_name"), "record_id", F.lit(target).alias("target_table"), F.col("_r.target_id").alias("target_id"), F.col("_r.referred_at").alias("referred_at")).where("target_id is not null")
 
     references = refs("symbol_relations", "target_symbol_id", "symbols").unionByName(refs("chunks", "symbol_id", "symbols")).unionByName(refs("source_file_relations", "target_file_id", "source_files"))
-    rows = lambda n: orphans.parent_events(T(n).select(uuid_key("id").alias("id"), "recorded_at"), n)
-    log = T("purge_log").select(uuid_key("record_id").alias("record_id"), F.lower(strip("record_table")).alias("record_table"))
-    arrived = rows("symbols").unionByName(rows("source_files")).unionByName(orphans.deletion_events(log.where("record_table in ('symbols', 'source_files')"), "record_id", "record_table"))
-    empty = orphans.index_parents(arrived.limit(0))
-    _, pending = orphans.step(empty, references.limit(0), references, arrived)
-    return pending
+    rows = lambda n: orphans.arrivals(T(n).select(uuid_key("id").alias("id"), "recorded_at"), n)
+    log = T("purge_log").select(uuid_key("record_id").alias("record_id"), F.lower(strip("record_table")).alias("record_table"), "purged_at")
+    events = rows("symbols").unionByName(rows("source_files")).unionByName(orphans.purges(log.where("record_table in ('symbols', 'source_files')"), "record_id", "record_table", "purged_at"))
+    references = materialize(references, "references")
+    ends = references.agg(F.min("referred_at"), F.max("referred_at"), F.count("*")).first()
+    first, last = ends[0] or datetime(2000, 1, 1), ends[1] or datetime(2000, 1, 1)
+    edges = [first + (last - first) * k / _PERIODS for k in range(1, _PERIODS)]
+    state = orphans.OrphanState(spark, f"{shared_dir(spark)}/treeloom/orphans-{uuid.uuid4().hex}", buckets_for(ends[2]))
+    for k in range(_PERIODS):
+        inside = lambda c: (F.lit(True) if k == 0 else c >= edges[k - 1]) & (F.lit(True) if k == _PERIODS - 1 else c < edges[k])  # noqa: E731, B023
+        within = lambda c: F.coalesce(inside(F.col(c)), F.lit(k == 0))  # noqa: E731, B023
+        state.advance(references.where(within("referred_at")), events.where(within("at")), k, everywhere=True)
+    return state.orphans()
 
 
 def p4_found(spark, sf_dir):
     """Each referring record whose earliest row names a target without a row in time."""
-    return _orphan_state(spark, sf_dir).select("table_name", "record_id", "orphan_kind")
+    return _orphans(spark, sf_dir).select("table_name", "record_id", "orphan_kind")
 
 
 def p4_by_month(spark, sf_dir):
     """Orphans per table, kind and month of recorded_at."""
-    return orphans.counts(_orphan_state(spark, sf_dir))
+    return orphans.counts(_orphans(spark, sf_dir))
 
 
 def _changes(spark, sf_dir):
-    f = P.source_files(spark, sf_dir).select("snapshot_id", F.col("relative_path").alias("key"), F.col("content_hash").alias("hash"), "recorded_at")
-    return snapshot_changes.chain(f, broadcast_if_small(P.deliveries(spark, sf_dir)))
+    """All changes, delivery by delivery through the index; what the tables say is sorted into deliveries once."""
+    steps = P.deliveries(spark, sf_dir).select("snapshot_id", "series", "seq")
+    steps = materialize(steps, "deliveries")
+    f = P.source_files(spark, sf_dir).where("relative_path is not null").select("snapshot_id", F.col("relative_path").alias("key"), F.col("content_hash").alias("hash"), "recorded_at")
+    f = f.join(broadcast_if_small(steps.select("snapshot_id", "seq")), "snapshot_id")
+    f = latest(f, ["seq", "snapshot_id", "key"], ["hash"])
+    f = materialize(f, "delivered-files", "seq")
+    last, snaps = steps.agg(F.max("seq"), F.count("*")).first()
+    index = snapshot_changes.SnapshotIndex(spark, f"{shared_dir(spark)}/treeloom/snapshot-index-{uuid.uuid4().hex}", buckets_for(f.count() // max(1, snaps // (last or 1))))
+    return snapshot_changes.history(index, f, steps, last or 0)
 
 
 def p5_found(spark, sf_dir):

@@ -63,10 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: compressed, columnar, prunable and survives executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: compressed, columnar, prunable and survives executors.
+
+    ``by`` names a column of few values that makes folders, so that a reader of one value opens nothing else.
+    """
     at = f"{shared_dir(df.sparkSession)}/treeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

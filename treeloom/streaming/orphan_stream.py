@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.operators import orphans
+from treeloom.operators.orphans import OrphanState
 
-#: kind is reference, parent or deletion; a parent or deletion uses target_table, target_id and at.
+#: kind is reference, arrival, deletion or purge; all but a reference use target_table, target_id and at.
 EVENTS = "kind string, table_name string, record_id string, target_table string, target_id string, at timestamp"
 
 
-class OrphanState:
-    """The parent index and the pending references as versioned tables in a shared folder; a version is written, then current.
+def advance(state: OrphanState, events: DataFrame, batch: int) -> None:
+    """Move ``state`` by the events (``EVENTS``) of one micro-batch; one that was done before changes nothing."""
+    kept = events.persist()
+    try:
+        references = kept.where("kind = 'reference'").select("table_name", "record_id", "target_table", "target_id", F.col("at").alias("referred_at"))
+        state.advance(references, kept.where("kind <> 'reference'").select("target_table", "target_id", F.col("kind").alias("event"), "at"), batch)
+    finally:
+        kept.unpersist()
 
-    The version is the micro-batch's number, so a batch that is replayed after a failure writes the same version again.
-    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path.rstrip("/"), -1
-
-    def _read(self, what: str, schema: str, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}/v={version}")
-
-    def parents(self) -> DataFrame:
-        return self._read("parents", f"{orphans.PARENTS}, has_row int", self.version)
-
-    def pending(self) -> DataFrame:
-        return self._read("pending", f"{orphans.REFERENCES}, orphan_kind string", self.version)
-
-    def advance(self, events: DataFrame, batch: int) -> None:
-        if batch <= self.version:
-            return
-        refs = events.where("kind = 'reference'").select("table_name", "record_id", "target_table", "target_id", F.col("at").alias("referred_at"))
-        parents = events.where("kind = 'parent'").select("target_table", "target_id", F.col("at").alias("first_seen"), F.lit(False).alias("purged"))
-        gone = events.where("kind = 'deletion'").select("target_table", "target_id", F.lit(None).cast("timestamp").alias("first_seen"), F.lit(True).alias("purged"))
-        index, pending = orphans.step(self.parents(), self.pending(), refs, parents.unionByName(gone))
-        index.select("target_table", "target_id", "first_seen", "purged", "has_row").write.mode("overwrite").parquet(f"{self.path}/parents/v={batch}")
-        pending.write.mode("overwrite").parquet(f"{self.path}/pending/v={batch}")
-        self.version = batch
-
-    def start(self, stream: DataFrame, checkpoint: str):
-        """Follow a stream of events; the query is returned running."""
-        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.advance(df.persist(), i)).start()
+def start(state: OrphanState, stream: DataFrame, checkpoint: str):
+    """Follow a stream of events; the query is returned running. A restart takes a new state over the same folder."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: advance(state, df, i)).start()

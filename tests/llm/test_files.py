@@ -93,6 +93,11 @@ def test_judge():
     assert handwritten.judge("// lib v1.2.3\n// (c) 2020 authors. Released under the MIT license.\nvar a = 1;\n", "javascript") == "vendored"
     assert handwritten.judge(".a {\n  margin: 3px;\n}\n.b {\n  margin: 17px;\n}\n" * 10, "css") is None
     assert handwritten.judge('x = "' + "word " * 120 + '"\n' + hand, "python") is None
+    lock = '{\n "packages": {\n' + ",\n".join(f'  "p-{rng.random()}": {{\n   "version": "1.{i * 7 % 31}",\n   "hash": "sha-{rng.getrandbits(160):x}"\n  }}' for i in range(30)) + "\n }\n}\n"
+    assert handwritten.judge(lock, "json") == "generated"
+    licence = "/*\n" + "".join(f" * clause {i} of a long licence text that goes on and on in words of its own {rng.random()}\n" for i in range(90)) + " */\n"
+    assert handwritten.judge(licence + "// Code generated by tool. DO NOT EDIT.\n" + "".join(f"var f_{rng.random():.9f} = field('{rng.random()}')\n" for i in range(40)), "javascript") == "generated"
+    assert handwritten.judge("T = [\n" + "  1, 2, 3, 4,\n" * 200 + "]\n", "python") is None
     assert handwritten.judge("", "python") is None and handwritten.judge(" \n", None) is None
 
 
@@ -116,3 +121,28 @@ def test_repair_grammar():
     assert [y for s in seq for y in expand(s)] == [1, 2, 1, 2, 3, 1, 2] and uses
     assert repair.reuse(["a"] * 64) > 0.8 and repair.reuse([str(i) for i in range(64)]) == 0.0 and repair.reuse(["a"]) == 0.0
     assert repair.shape("x1 = 'a' + 0xff") == repair.shape("y2 = 'b' + 3") and repair.literal('[1, "a", -2.5],') and not repair.literal("x, 1")
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_repair_replaces_all_and_loses_nothing(seed):
+    rng = random.Random(seed)
+    symbols = [1] * rng.randrange(5) + [rng.randrange(rng.choice([2, 3, 9])) for _ in range(rng.randrange(120))]
+    seq, rules, uses = repair.grammar(symbols)
+    out, todo = [], list(reversed(seq))
+    while todo:
+        x = todo.pop()
+        if x in rules:
+            todo += reversed(rules[x])
+        else:
+            out.append(x)
+    assert out == symbols and all(n >= 2 for n in uses.values())
+    at: dict = {}
+    for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+        if pair[0] != pair[1] or at.get(pair, [-2])[-1] < i - 1:
+            at.setdefault(pair, []).append(i)
+    assert all(len(x) == 1 for x in at.values())
+
+
+def test_repair_goes_on_after_overlaps():
+    assert list(repair.grammar([1, 1, 1, 9, 2, 3, 8, 2, 3])[1].values()) == [(2, 3)]
+    assert repair.shape('"a": "b", "c": [1, "d"]', True) == '"a": s, "c": [w, s]' and repair.values(['[1, "a b", -2.5],']) == ["1", '"a b"', "-2.5"]

@@ -1,8 +1,9 @@
 """Generated, minified and vendored files and data blobs, so that hand-written source remains.
 
-Terminals are statements. A Re-Pair grammar over their shapes gives the reuse of a file; statements of one shape that count up
-(field0001, field0002) tell a tool's repetition from a person's. Statements of literals alone that a general compressor can't
-shrink are data. Pairs of neighbouring statements are the first rules of a grammar over the whole collection: a file most of
+Terminals are statements. A Re-Pair grammar over their shapes gives the reuse of a file: without reuse nothing is generated, and
+since people repeat themselves too (style sheets, tables of cases), a second sign must tell a tool's repetition from a person's:
+statements of one shape that count up (field0001, field0002), a generator's banner, or JSON, where reuse alone decides. Where
+most of a text is literals and the grammar over these finds next to nothing to reuse, it is data. Pairs of neighbouring statements are the first rules of a grammar over the whole collection: a file most of
 whose pairs also stand in other repositories, and whose pairs as a set are much like those of one file there (equal bands of
 minimum hashes), is a copy, patched or not; a passage that many unlike files share makes none of them one. Leading comments with a project's name, version and
 licence, or a generator's banner over a body that repeats, settle single copies.
@@ -11,7 +12,6 @@ licence, or a generator's banner over a body that repeats, settle single copies.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +19,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.repair import counters, literal, reuse, shape, statements
+from treeloom.llm.repair import counters, literal, reuse, shape, statements, values
 from treeloom.llm.rolling import mix
 from treeloom.llm.syntax import decoded
 from treeloom.session import materialize
 
-#: Thresholds: share of counting statements, reuse under a banner, reuse of a JSON grammar, share of literal text, least
-#: compressed share of it, white space and statement length of minified text, share of pairs known elsewhere.
-COUNTING, BANNER_REUSE, JSON_REUSE, LITERAL, INCOMPRESSIBLE, WHITE, DENSE, COPIED = 0.4, 0.3, 0.4, 0.6, 0.15, 0.1, 120, 0.6
+#: Thresholds: share of counting statements, reuse beside a second sign, reuse of a JSON grammar, share of literal text, most
+#: reuse in literals that are data, white space and statement length of minified text, share of pairs known elsewhere.
+COUNTING, REUSE, JSON_REUSE, LITERAL, LITERAL_REUSE, WHITE, DENSE, COPIED = 0.4, 0.3, 0.4, 0.6, 0.6, 0.1, 120, 0.6
 #: Fewer characters than this are no data block; a pair of statements shorter than this says nothing about its origin.
 LEAST_DATA, LEAST_PAIR = 400, 24
 
 _COMMENT = re.compile(r"\s*(//|#|/\*|\*|<!--|;|--|%)")
+_LINES = re.compile(r"[\r\n]+")
 _BANNER = re.compile(r"@generated|<auto-?generated|\b(code|file|was|is) (is |was )?(auto(matically)?[ -]?)?(generated|produced)\b|auto-?generated|generated\s*[:=]\s*true|generated (by|from|with)\b|do not (edit|modify)|changes will be lost", re.I)
 _ORIGIN = re.compile(r"spdx-\w+|@licen[sc]e|@version|upstream|released under|distributed under|licensed under|\(c\) \d{4}|homepage|this file is part of|all rights reserved|permission is hereby granted", re.I)
 _MINIFIED_LANGUAGES = {"javascript", "css", "typescript", "json", None}
 
 
 def head_comment(text: str) -> str:
-    """The comment lines among the first lines of a text, before any code but a package or shebang line."""
+    """The comment lines that a text begins with, all of them, before any code but a package or shebang line."""
     out, inside = [], False
-    for line in re.split(r"[\r\n]+", text[:3000])[:14]:
+    for line in _LINES.split(text):
         if not line.strip():
             continue
         if inside or _COMMENT.match(line):
@@ -56,26 +57,23 @@ def judge(text: str, language: str | None) -> str | None:
         return None
     st = statements(text)
     size = sum(map(len, st))
-    values = [s for s in st if literal(s)]
-    held = sum(map(len, values))
-    if held >= LITERAL * size and held >= LEAST_DATA:
-        block = "\n".join(values).encode()
-        if len(zlib.compress(block)) >= INCOMPRESSIBLE * len(block):
-            return "data"
-    lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
+    literals = [s for s in st if literal(s)]
+    held = sum(map(len, literals))
+    if held >= LITERAL * size and held >= LEAST_DATA and reuse(values(literals)) < LITERAL_REUSE:
+        return "data"
+    lines = [x for x in _LINES.split(text) if x.strip()]
     white = sum(map(len, text.split()))
     if 1 - white / len(text) < WHITE and language in _MINIFIED_LANGUAGES:
         longest = sorted(map(len, lines))[-max(1, len(lines) // 2) :]
         if sum(longest) / len(longest) > DENSE:
             return "minified"
     shapes = [shape(s, language == "json") for s in st]
-    if counters(st, shapes) >= COUNTING:
-        return "generated"
     head = head_comment(text)
     if language == "json":
-        if reuse(shapes) >= JSON_REUSE:
-            return "generated"
-    elif head and _BANNER.search(head) and reuse(shapes) >= BANNER_REUSE:
+        signed, least = True, JSON_REUSE
+    else:
+        signed, least = counters(st, shapes) >= COUNTING or bool(head and _BANNER.search(head)), REUSE
+    if signed and reuse(shapes) >= least:
         return "generated"
     if len({m.lower() for m in _ORIGIN.findall(head)}) >= 2:
         return "vendored"

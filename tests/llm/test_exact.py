@@ -105,6 +105,31 @@ def test_one_dense_region_is_cut_into_blocks(spark):
     assert len(got & _nearest(rows, 5)) / len(got) > 0.99 and len(got) == 5 * len(rows)
 
 
+def test_levels_of_cells_in_64_dimensions(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 64))
+    rows = [("g", f"d{i:04}", [float(x) for x in middle[i % 40] + 0.6 * rng.normal(size=64)]) for i in range(2000)]
+    rows += [("h", f"e{i:02}", [float(x) for x in rng.normal(size=64)]) for i in range(30)] + [("g", "gap", [1.0] * 63 + [None])]
+    df = spark.createDataFrame(rows, "grp string, id string, v array<float>").withColumn("part", F.lit("clash"))
+    got = {(r["id"], r["near_id"]) for r in neighbours.nearest(df, 5, 64, region_rows=50, fan=8).collect()}  # 80 regions in two levels
+    want = set()
+    for g in "gh":
+        ids, x = zip(*[(i, v) for h, i, v in rows if h == g and i != "gap"], strict=True)
+        x = np.array(x, np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        sims = np.round(x @ x.T - 9 * np.eye(len(x)), 12)
+        want |= {(ids[i], ids[j]) for i in range(len(x)) for j in np.argsort(-sims[i], kind="stable")[:5]}
+    assert len(got & want) / len(want) > 0.9 and len(got) == len(want)
+
+
+def test_centres_are_fitted_in_blocks():
+    x = np.random.default_rng(1).normal(size=(9_000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = neighbours.fit_centres(x, 30)
+    near = neighbours._nearest_centre(x, c, 3)
+    assert (near[:, 0] == (x @ c.T).argmax(1)).all() and near.shape == (9_000, 3) and neighbours._nearest_centre(x, c[:2], 5).shape == (9_000, 2)
+
+
 def test_anisotropic_codes_keep_scores():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 16))

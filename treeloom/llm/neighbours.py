@@ -3,9 +3,11 @@
 1. Exact copies beyond the k + 1 smallest ids of a crowd are set aside by a narrow count, so a vector shared by a third of all
    rows costs k + 1 rows of search. A set-aside row is answered with what the crowd's smallest id found, and that id itself: other
    vectors of the same direction tie with the crowd's own rows.
-2. A group (snapshot) of n rows gets ceil(n / region_rows) regions: nearest of as many centres, fitted on a bounded sample.
-   A row belongs to one region and, as a query, also visits the next ``probes`` regions. One region is one task's work, of
-   bounded size, whatever the size of the group: total work grows in proportion to the rows.
+2. A group (snapshot) of n rows gets 2 n / region_rows regions: nearest of as many centres, fitted on a bounded sample.
+   A row belongs to one region and, as a query, also visits the next ``probes`` regions. A group that needs more than ``FAN``
+   regions is first cut into ``FAN`` cells in the same way, and cells again, so no task holds more than ``FAN`` centres and the
+   sample for them; at each level a row visits its nearest cell as its own and the next ``probes`` cells as a query. One
+   region is one task's work, of bounded size, whatever the size of the group: total work grows in proportion to the rows.
 3. In a region vectors are coded with 4 bits per pair of dimensions by codebooks fitted, once and on a bounded sample of all
    vectors, with anisotropic weights: the error
    along the vector counts more than the error across it. The scan sums table entries for all codes of the region (as one
@@ -25,8 +27,8 @@ from treeloom.session import broadcast_if_small, materialize
 
 #: Rows of a region, and of the sample that fits the codebooks; both bound a task's memory.
 REGION_ROWS, SAMPLE, PROBES = 16_384, 4_096, 3
-#: Centres fitted at once for one group (each on 64 rows); a group that would need more gets larger regions, which are cut into blocks.
-MAX_REGIONS = 4_096
+#: Centres fitted at once, each on 64 rows: 32,768 rows and 8 MB of products at a time in one task. Rows that meet centres in one task.
+FAN, MEET = 512, 65_536
 #: How much an error along the vector outweighs one across it, from a threshold of 0.2 in 64 dimensions; margin in code errors.
 PARALLEL_WEIGHT, MARGIN = 4.0, 5.0
 
@@ -168,68 +170,114 @@ def _strings(column) -> np.ndarray:
     return np.array([x.encode() for x in column.to_pylist()])
 
 
-def _regions(rows: DataFrame, n: DataFrame, region_rows: int, probes: int) -> DataFrame:
-    """rows (grp, id, v) with ``region``, ``block`` and ``home``: own region once, and further regions to visit as a query.
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None]
 
-    A region that came out larger than twice the aim is cut into blocks by id: its rows lie in one block each and ask in all.
+
+def _nearest_centre(x: np.ndarray, c: np.ndarray, take: int = 1, block: int = 4_096) -> np.ndarray:
+    """The ``take`` nearest centres of each row, best first, in blocks of rows."""
+    take = min(take, len(c))
+    out = np.empty((len(x), take), np.int32)
+    for a in range(0, len(x), block):
+        s = x[a : a + block] @ c.T
+        best = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
+        out[a : a + block] = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def fit_centres(x: np.ndarray, want: int, rounds: int = 8) -> np.ndarray:
+    """At most ``want`` unit centres of unit vectors, by spherical k-means."""
+    want = min(want, len(x))
+    c = x[np.random.default_rng(3).choice(len(x), want, replace=False)]
+    for _ in range(rounds):
+        near = _nearest_centre(x, c)[:, 0]
+        sums = np.zeros(c.shape, np.float64)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1)
+        c = np.where((size > 1e-12)[:, None], sums / np.maximum(size, 1e-12)[:, None], c).astype(np.float32)
+    return c
+
+
+_VISIT = [("grp", pa.string()), ("part", pa.string()), ("id", pa.string()), ("v", pa.list_(pa.float32())), ("region", pa.int32()), ("home", pa.bool_())]
+
+
+def _split(rows: DataFrame, counts: DataFrame, probes: int) -> DataFrame:
+    """rows (grp, part, id, v, home) of the parts in ``counts`` (grp, part, n, want) with ``region``, the centres they fall to.
+
+    A row that is at home goes to the next ``probes`` regions as well, a visitor to the nearest only.
     """
-    big = n.where(F.col("n") > region_rows).withColumn("regions", F.least(F.ceil(F.col("n") / region_rows * 2), F.lit(MAX_REGIONS)).cast("int"))
-    if not big.limit(1).count():
-        return rows.withColumns({"region": F.lit(0), "home": F.lit(True), "block": F.lit(0)})
-    big = broadcast_if_small(big)
-    out = rows.join(big, "grp", "left")
-    plain = out.where("regions is null").drop("n", "regions").withColumns({"region": F.lit(0), "home": F.lit(True), "block": F.lit(0)})
-    out = out.where("regions is not null")
-    sample = out.where(F.rand(5) < F.least(F.lit(1.0), F.col("regions") * 64 / F.col("n")))
+    out = rows.join(counts, ["grp", "part"])
+    share = F.shiftrightunsigned(F.xxhash64("id"), 24) < (F.col("want") * 64 / F.col("n") * (1 << 40)).cast("long")
 
     def fit(table: pa.Table) -> pa.Table:
-        x = _matrix(table["v"]).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        want = min(table["regions"][0].as_py(), len(x))
-        rng = np.random.default_rng(3)
-        c = x[rng.choice(len(x), want, replace=False)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            for j in range(want):
-                if (near == j).any():
-                    m = x[near == j].sum(0)
-                    c[j] = m / max(np.linalg.norm(m), 1e-12)
-        return pa.table({"grp": pa.array([table["grp"][0].as_py()] * want), "region": pa.array(range(want), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
-
-    centres = materialize(sample.select("grp", "regions", "v").groupBy("grp").applyInArrow(fit, "grp string, region int, c array<double>"), "centres")
-    salts = 256
-    salted = out.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        x = _unit(_matrix(table["v"]))
+        x = x[np.isfinite(x).all(1)]
+        c = fit_centres(x, table["want"][0].as_py()) if len(x) else np.zeros((1, _matrix(table["v"]).shape[1]), np.float32)
+        n = len(c)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel(), pa.float32()), c.shape[1]).cast(pa.list_(pa.float32()))
+        return pa.table({"grp": pa.array([table["grp"][0].as_py()] * n, pa.string()), "part": pa.array([table["part"][0].as_py()] * n, pa.string()), "region": pa.array(range(n), pa.int32()), "c": flat, "salts": pa.array([table["salts"][0].as_py()] * n, pa.int32())})
+
+    salts = F.ceil(F.col("n") / MEET).cast("int")
+    sample = out.where("home").where(share | (F.col("n") <= F.col("want") * 64)).select("grp", "part", "want", "v", salts.alias("salts"))
+    centres = materialize(sample.groupBy("grp", "part").applyInArrow(fit, "grp string, part string, region int, c array<float>, salts int"), "centres")
+    salted = out.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), salts).cast("int")).select("grp", "part", "salt", "id", "v", "home")
+    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("grp", "part", "salt", "region", "c")
 
     def assign(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"grp": pa.array([], pa.string()), "id": pa.array([], pa.string()), "v": pa.array([], pa.list_(pa.float32())), "region": pa.array([], pa.int32()), "home": pa.array([], pa.bool_())})
-        x = _matrix(left["v"]).astype(np.float32)
-        x = x / np.linalg.norm(x, axis=1)[:, None]
-        s = x @ _matrix(right["c"]).astype(np.float32).T
-        take = min(probes + 1, s.shape[1])
-        order = np.argsort(-s, axis=1)[:, :take]
-        region = right["region"].to_numpy()[order].ravel().astype(np.int32)
-        rows_ = np.repeat(np.arange(len(x)), take)
-        picked = left.select(["grp", "id", "v"]).take(pa.array(rows_))
-        return picked.append_column("region", pa.array(region)).append_column("home", pa.array(np.tile(np.arange(take) == 0, len(x))))
-
-    visits = salted.select("grp", "salt", "id", "v").groupBy("grp", "salt").cogroup(spread.groupBy("grp", "salt")).applyInArrow(assign, "grp string, id string, v array<float>, region int, home boolean")
-    visits = materialize(visits, "visits")
-    size = visits.where("home").groupBy("grp", "region").agg(F.count("*").alias("n")).where(F.col("n") > 2 * region_rows)
-    size = broadcast_if_small(size.select("grp", "region", F.ceil(F.col("n") / region_rows).cast("int").alias("blocks")))
-    visits = visits.join(size, ["grp", "region"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int") == F.col("block")
-    return plain.unionByName(visits.select("grp", "id", "v", "region", (F.col("home") & own).alias("home"), "block"))
-
-
-def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = REGION_ROWS, probes: int = PROBES) -> DataFrame:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in _VISIT})
+        x, c = _unit(_matrix(left["v"])), _matrix(right["c"]).astype(np.float32)
+        home = left["home"].to_numpy(zero_copy_only=False)
+        order = _nearest_centre(x, c, probes + 1)
+        use = np.zeros(order.shape, bool)
+        use[:, 0] = True
+        use[home] = True
+        row, rank = np.nonzero(use)
+        picked = left.select(["grp", "part", "id", "v"]).take(pa.array(row))
+        region = right["region"].to_numpy()[order[row, rank]].astype(np.int32)
+        return picked.append_column("region", pa.array(region)).append_column("home", pa.array((rank == 0) & home[row]))
+
+    pair = salted.groupBy("grp", "part", "salt").cogroup(spread.groupBy("grp", "part", "salt"))
+    return materialize(pair.applyInArrow(assign, "grp string, part string, id string, v array<float>, region int, home boolean"), "visits")
+
+
+def _regions(rows: DataFrame, n: DataFrame, region_rows: int, probes: int, fan: int = FAN) -> DataFrame:
+    """rows (grp, id, v) with ``part``, ``region``, ``block`` and ``home``: own region once, and further regions to visit as a query.
+
+    A region that came out larger than twice the aim is cut into blocks by id: its rows lie in one block each and ask in all.
+    """
+    big = n.where(F.col("n") > region_rows)
+    small = lambda df: df.select("grp", F.lit("").alias("part"), "id", "v", F.lit(0).alias("region"), F.lit(True).alias("home"), F.lit(0).alias("block"))
+    if not big.limit(1).count():
+        return small(rows)
+    mark = broadcast_if_small(big.select("grp"))
+    done = small(rows.join(mark, "grp", "left_anti"))
+    rows = rows.join(mark, "grp", "left_semi").select("grp", F.lit("").alias("part"), "id", "v", F.lit(True).alias("home"))
+    while True:
+        counts = rows.where("home").groupBy("grp", "part").agg(F.count("*").alias("n"))
+        counts = materialize(counts.withColumn("want", F.ceil(F.col("n") / region_rows * 2).cast("long")), "parts")
+        many = counts.where(F.col("want") > fan).count()
+        fits = _split(rows, broadcast_if_small(counts.where(F.col("want") <= fan)), probes)
+        size = fits.where("home").groupBy("grp", "part", "region").agg(F.count("*").alias("n")).where(F.col("n") > 2 * region_rows)
+        size = broadcast_if_small(size.select("grp", "part", "region", F.ceil(F.col("n") / region_rows).cast("int").alias("blocks")))
+        fits = fits.join(size, ["grp", "part", "region"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        fits = fits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int") == F.col("block")
+        done = done.unionByName(fits.select("grp", "part", "id", "v", "region", (F.col("home") & own).alias("home"), "block"))
+        if not many:
+            return done
+        cells = _split(rows, broadcast_if_small(counts.where(F.col("want") > fan).withColumn("want", F.lit(fan).cast("long"))), probes)
+        rows = cells.select("grp", F.concat_ws(".", "part", F.col("region").cast("string")).alias("part"), "id", "v", "home")
+
+
+def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = REGION_ROWS, probes: int = PROBES, fan: int = FAN) -> DataFrame:
     """(id, near_id, similarity): the k most similar rows of the same ``grp`` for each row of ``vectors`` (grp, id, v).
 
     Cosine similarity to 12 decimals, ties by the smaller id, itself excluded. Vectors that are null, of other length than
     ``dims``, all zero or not finite take no part; of repeated ids one row counts. A group of fewer than k + 1 rows gives what
     it has. Exact while a group fits one region; beyond, a neighbour is missed only if none of the visited regions holds it.
+    ``region_rows`` and ``fan`` bound what one task holds; groups of any size are cut into as many levels of cells as that needs.
     """
     whole = vectors.select("grp", "id", F.col("v").cast("array<float>").alias("v")).where("grp is not null and id is not null and v is not null")
     top, low, inf = F.array_max("v"), F.array_min("v"), F.lit(float("inf"))
@@ -252,7 +300,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
         vector = crowd.groupBy(*key).agg(F.first("v").alias("v"))
         good = hashed.join(side, key, "left_anti").select("grp", "id", "v").unionByName(kept.join(vector, key).select("grp", "id", "v"))
     sizes = materialize(good.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
-    rows = _regions(good, sizes, region_rows, probes)
+    rows = _regions(good, sizes, region_rows, probes, fan)
     total = sizes.agg(F.sum("n")).first()[0] or 0
     few = [r[0] for r in hash_sample(good, "id", SAMPLE, total).select("v").collect()]
     if not few:
@@ -279,7 +327,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, region_rows: int = R
         q, pos, sim = search_region(data, names, x[asked], ids[asked], k, books)
         return pa.table({"id": pa.array(ids[asked][q].astype(str)), "near_id": pa.array(names[pos].astype(str)), "similarity": pa.array(sim)})
 
-    found = rows.groupBy("grp", "region", "block").applyInArrow(search, "id string, near_id string, similarity double")
+    found = rows.groupBy("grp", "part", "region", "block").applyInArrow(search, "id string, near_id string, similarity double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "near_id"))), 1, k)
     found = found.groupBy("id").agg(best.alias("b"))
     if rest is not None:

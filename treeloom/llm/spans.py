@@ -5,15 +5,16 @@ compact windows. Equal windows have equal least grams, so a window shared by two
 hash: the collision is certain and a single hash function suffices. From there
 1. grams that occur in one record only are dropped (most of the corpus), by a count that is combined before the shuffle;
 2. where all compact windows of a gram are the same stretch of text, all of them are shared as they stand;
-3. elsewhere every window inside them is hashed (64 mixed bits out of two 64-bit polynomials) and counted over records.
-All three steps are exact up to hash collisions of that width, linear in the text, and never pair the records of a group.
+3. elsewhere every window inside them is hashed and counted over records.
+Texts and records are told apart by 128 bits, two independent 64-bit hashes side by side: 10^14 windows collide with a chance of
+about 10^-11. A gram's 64 bits only gather candidates. All steps are linear in the text and never pair the records of a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.intervals import merge
@@ -28,8 +29,8 @@ def _batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
 
 
 def compact_rows(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(key, gram, span, lo, hi) for every compact window of ``records`` (key, text); lo and hi are first and last window start."""
-    shape = [("key", pa.string()), ("gram", pa.int64()), ("span", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+    """(key, gram, span, span2, lo, hi) for every compact window of ``records`` (key, text); lo and hi are first and last window start."""
+    shape = [("key", pa.string()), ("gram", pa.int64()), ("span", pa.int64()), ("span2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
 
     def run(batches):
         for b in batches:
@@ -39,21 +40,21 @@ def compact_rows(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
                 points, row, starts = code_points(texts[a:z])
                 lo, hi, _, gram, hasher = compact_windows(points, row, length, k)
                 if len(lo):
-                    span = Hasher(points, wide=True).at(lo, hi + length)
+                    span, span2 = Hasher(points, wide=True).pair(lo, hi + length)
                     off = starts[row[lo]]
-                    yield _batch(shape, [keys.take(pa.array(a + row[lo])), gram.view(np.int64), span.view(np.int64), (lo - off).astype(np.int32), (hi - off).astype(np.int32)])
+                    yield _batch(shape, [keys.take(pa.array(a + row[lo])), gram.view(np.int64), span.view(np.int64), span2.view(np.int64), (lo - off).astype(np.int32), (hi - off).astype(np.int32)])
 
-    return records.select("key", "text").mapInArrow(run, "key string, gram long, span long, lo int, hi int")
+    return records.select("key", "text").mapInArrow(run, "key string, gram long, span long, span2 long, lo int, hi int")
 
 
 def _windows(mixed: DataFrame, length: int) -> DataFrame:
-    """(h, cid, start) of every window of rows (cid, text, ranges)."""
-    shape = [("h", pa.int64()), ("cid", pa.int64()), ("start", pa.int32())]
+    """(h, h2, cid, cid2, start) of every window of rows (cid, cid2, text, ranges)."""
+    shape = [("h", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("start", pa.int32())]
 
     def run(batches):
         for b in batches:
-            cid = b.column(0).to_numpy()
-            texts, ranges = b.column(1).to_pylist(), b.column(2)
+            cid, cid2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            texts, ranges = b.column(2).to_pylist(), b.column(3)
             flat, offsets = ranges.flatten(), ranges.offsets.to_numpy()
             lo, hi = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             offsets = offsets - offsets[0]
@@ -65,10 +66,19 @@ def _windows(mixed: DataFrame, length: int) -> DataFrame:
                 row = np.repeat(rows, n)
                 start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
                 at = start + starts[row - a]
-                h = Hasher(points, wide=True).at(at, at + length)
-                yield _batch(shape, [h.view(np.int64), cid[row], start.astype(np.int32)])
+                h, h2 = Hasher(points, wide=True).pair(at, at + length)
+                yield _batch(shape, [h.view(np.int64), h2.view(np.int64), cid[row], cid2[row], start.astype(np.int32)])
 
-    return mixed.select("cid", "text", "ranges").mapInArrow(run, "h long, cid long, start int")
+    return mixed.select("cid", "cid2", "text", "ranges").mapInArrow(run, "h long, h2 long, cid long, cid2 long, start int")
+
+
+def in_several(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """The values of ``by`` that rows of two records or more have, a record being a (cid, cid2); with further aggregates ``more``.
+
+    Two records differ where the least and the greatest of either half differ, so plain sums of longs tell them apart.
+    """
+    g = rows.groupBy(*by).agg(F.min("cid").alias("_a"), F.max("cid").alias("_b"), F.min("cid2").alias("_c"), F.max("cid2").alias("_d"), *more)
+    return g.where("_a <> _b or _c <> _d").drop("_a", "_b", "_c", "_d")
 
 
 def shared_spans(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -80,19 +90,20 @@ def shared_spans(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
     """
     if k > length:
         raise ValueError("the gram can't be longer than the window")
-    rows = materialize(compact_rows(records, length, k).withColumn("cid", F.xxhash64("key")), "spans")
-    s = rows.groupBy("gram").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.min("span").alias("x"), F.max("span").alias("y"))
-    s = s.where("a <> b").select("gram", (F.col("x") == F.col("y")).alias("uniform"))
-    cand = materialize(rows.join(s, "gram").select("key", "cid", "lo", "hi", "uniform").distinct(), "spans-candidates")
+    cid, cid2 = F.xxhash64("key"), F.xxhash64(F.lit(1), "key")
+    rows = materialize(compact_rows(records, length, k).withColumns({"cid": cid, "cid2": cid2}), "spans")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("span", "span2") for n, f in (("low", F.min), ("high", F.max))]
+    s = in_several(rows, ["gram"], *ends)
+    s = s.select("gram", ((F.col("low_span") == F.col("high_span")) & (F.col("low_span2") == F.col("high_span2"))).alias("uniform"))
+    cand = materialize(rows.join(s, "gram").select("key", "cid", "cid2", "lo", "hi", "uniform").distinct(), "spans-candidates")
     whole = cand.where("uniform").select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     mixed = cand.where("not uniform")
-    ranges = mixed.groupBy("key", "cid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = mixed.groupBy("key", "cid", "cid2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     text = records.select(F.col("key").alias("_key"), "text")
     win = _windows(ranges.join(text, F.col("key") == F.col("_key")).where("text is not null"), length)
     win = materialize(win, "spans-windows")
-    hot = win.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("h")
-    found = win.join(hot, "h", "left_semi").select("cid", F.col("start"), (F.col("start") + length).alias("stop"))
-    found = merge(found, ["cid"]).join(mixed.select("cid", "key").distinct(), "cid").select("key", "start", "stop")
+    found = win.join(in_several(win, ["h", "h2"]), ["h", "h2"], "left_semi").select("cid", "cid2", F.col("start"), (F.col("start") + length).alias("stop"))
+    found = merge(found, ["cid", "cid2"]).join(mixed.select("cid", "cid2", "key").distinct(), ["cid", "cid2"]).select("key", "start", "stop")
     return merge(whole.unionByName(found), ["key"])
 
 

@@ -63,9 +63,9 @@ def test_holding_rows(spark):
 
 
 def test_equal_halves_of_hashes_share_nothing(spark):
-    rows = [(1, 1, 10, 10), (1, 2, 11, 11), (2, 1, 12, 12), (3, 3, 13, 13), (3, 3, 13, 14), (4, 4, 15, 15), (4, 4, 15, 15), (5, 5, 16, 17), (5, 5, 18, 17)]
-    df = spark.createDataFrame(rows, "h long, h2 long, cid long, cid2 long")
-    assert {tuple(r) for r in spans.in_several(df, ["h", "h2"]).collect()} == {(3, 3), (5, 5)}
+    rows = [(1, 1, 10), (1, 2, 11), (2, 1, 12), (3, 3, 13), (3, 3, 14), (4, 4, 15), (4, 4, 15)]
+    df = spark.createDataFrame(rows, "h long, h2 int, cid long")
+    assert {tuple(r) for r in spans.in_several(df, ["h", "h2"]).collect()} == {(3, 3)}
     points, _, _ = rolling.code_points(["abcdefgh" * 50, "abcdefgh" * 49 + "abcdefgx"])
     a, b = rolling.Hasher(points, wide=True).pair(np.array([0, 400, 8, 1]), np.array([200, 600, 208, 201]))
     assert a[0] == a[1] == a[2] != a[3] and b[0] == b[1] == b[2] != b[3] and (a != b).all()

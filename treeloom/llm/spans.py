@@ -6,8 +6,9 @@ hash: the collision is certain and a single hash function suffices. From there
 1. grams that occur in one record only are dropped (most of the corpus), by a count that is combined before the shuffle;
 2. where all compact windows of a gram are the same stretch of text, all of them are shared as they stand;
 3. elsewhere every window inside them is hashed and counted over records.
-Texts and records are told apart by 128 bits, two independent 64-bit hashes side by side: 10^14 windows collide with a chance of
-about 10^-11. A gram's 64 bits only gather candidates. All steps are linear in the text and never pair the records of a group.
+Texts are told apart by 96 bits of two independent hashes: among 10^13 different windows any two are alike with a chance of one in
+a thousand. Two records of one stretch are told apart by 64 bits, which fails for one pair in 10^19; whose a stretch is, by 96. A
+gram's 64 bits only gather candidates. All steps are linear in the text and never pair the records of a group.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ def _batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
+def _low(x: np.ndarray) -> np.ndarray:
+    """The low halves of 64-bit words."""
+    return x.astype(np.uint32).view(np.int32)
+
+
 def compact_rows(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """(key, gram, span, span2, lo, hi) for every compact window of ``records`` (key, text); lo and hi are first and last window start."""
-    shape = [("key", pa.string()), ("gram", pa.int64()), ("span", pa.int64()), ("span2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+    shape = [("key", pa.string()), ("gram", pa.int64()), ("span", pa.int64()), ("span2", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
 
     def run(batches):
         for b in batches:
@@ -42,14 +48,14 @@ def compact_rows(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
                 if len(lo):
                     span, span2 = Hasher(points, wide=True).pair(lo, hi + length)
                     off = starts[row[lo]]
-                    yield _batch(shape, [keys.take(pa.array(a + row[lo])), gram.view(np.int64), span.view(np.int64), span2.view(np.int64), (lo - off).astype(np.int32), (hi - off).astype(np.int32)])
+                    yield _batch(shape, [keys.take(pa.array(a + row[lo])), gram.view(np.int64), span.view(np.int64), _low(span2), (lo - off).astype(np.int32), (hi - off).astype(np.int32)])
 
-    return records.select("key", "text").mapInArrow(run, "key string, gram long, span long, span2 long, lo int, hi int")
+    return records.select("key", "text").mapInArrow(run, "key string, gram long, span long, span2 int, lo int, hi int")
 
 
 def _windows(mixed: DataFrame, length: int) -> DataFrame:
     """(h, h2, cid, cid2, start) of every window of rows (cid, cid2, text, ranges)."""
-    shape = [("h", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("start", pa.int32())]
+    shape = [("h", pa.int64()), ("h2", pa.int32()), ("cid", pa.int64()), ("cid2", pa.int32()), ("start", pa.int32())]
 
     def run(batches):
         for b in batches:
@@ -67,18 +73,15 @@ def _windows(mixed: DataFrame, length: int) -> DataFrame:
                 start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
                 at = start + starts[row - a]
                 h, h2 = Hasher(points, wide=True).pair(at, at + length)
-                yield _batch(shape, [h.view(np.int64), h2.view(np.int64), cid[row], cid2[row], start.astype(np.int32)])
+                yield _batch(shape, [h.view(np.int64), _low(h2), cid[row], cid2[row], start.astype(np.int32)])
 
-    return mixed.select("cid", "cid2", "text", "ranges").mapInArrow(run, "h long, h2 long, cid long, cid2 long, start int")
+    return mixed.select("cid", "cid2", "text", "ranges").mapInArrow(run, "h long, h2 int, cid long, cid2 int, start int")
 
 
 def in_several(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """The values of ``by`` that rows of two records or more have, a record being a (cid, cid2); with further aggregates ``more``.
-
-    Two records differ where the least and the greatest of either half differ, so plain sums of longs tell them apart.
-    """
-    g = rows.groupBy(*by).agg(F.min("cid").alias("_a"), F.max("cid").alias("_b"), F.min("cid2").alias("_c"), F.max("cid2").alias("_d"), *more)
-    return g.where("_a <> _b or _c <> _d").drop("_a", "_b", "_c", "_d")
+    """The values of ``by`` that rows of two records (cid) or more have; with further aggregates ``more``."""
+    g = rows.groupBy(*by).agg(F.min("cid").alias("_a"), F.max("cid").alias("_b"), *more)
+    return g.where("_a <> _b").drop("_a", "_b")
 
 
 def shared_spans(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -90,7 +93,7 @@ def shared_spans(records: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
     """
     if k > length:
         raise ValueError("the gram can't be longer than the window")
-    cid, cid2 = F.xxhash64("key"), F.xxhash64(F.lit(1), "key")
+    cid, cid2 = F.xxhash64("key"), F.hash("key")
     rows = materialize(compact_rows(records, length, k).withColumns({"cid": cid, "cid2": cid2}), "spans")
     ends = [f(c).alias(f"{n}_{c}") for c in ("span", "span2") for n, f in (("low", F.min), ("high", F.max))]
     s = in_several(rows, ["gram"], *ends)

@@ -6,7 +6,7 @@ The functions vote per paragraph and subject, or abstain:
 * words: a sentence with several words that, in the collection, keep to paragraphs of the subject;
 * section: a heading that names a term of the subject, over a paragraph with one;
 * address: a link, mail address or path in the paragraph that names a term of the subject;
-* source: a source most of whose documents deal with the subject, for paragraphs with a term or a word of it.
+* source: a source most of whose documents deal with the subject, for paragraphs that another function votes on.
 Words are counted over all documents in the paragraphs the lexicon alone is sure about, so that the collection and not the lexicon
 says which words speak for a subject, and which of the lexicon's don't. Each task adds up what it has and the sums meet by class
 and word; words below ``LEAST`` and ``FLOOR`` stay with the executors, so the learned tables that are broadcast hold at most a
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,14 +89,17 @@ for _f in FIGURES:
     _w = max(_plain, key=lambda w: (w != "the", len(w)))
     _FIGURE_AT[_w] = re.compile(f"{_FIGURE_AT[_w].pattern}|(?:{_f})" if _w in _FIGURE_AT else f"(?:{_f})")
 
+_FIGURE_WORDS = frozenset(_FIGURE_AT)
+
 
 class Lexicon:
-    """Phrases by their first word, with the languages of single words."""
+    """Phrases by their first word, with the languages of single words; ``weak`` (subject, phrase) are left out."""
 
-    def __init__(self):
+    def __init__(self, weak: Set[tuple[str, str]] = frozenset()):
         self.first: dict[str, list[tuple[tuple[str, ...], tuple[str, ...], str]]] = defaultdict(list)
         for phrase, subjects in terms().items():
-            for form in _forms(phrase):
+            subjects = tuple(s for s in subjects if (s, phrase) not in weak)
+            for form in _forms(phrase) if subjects else ():
                 words = tuple(form.split())
                 self.first[words[0]].append((words, subjects, phrase))
         for v in self.first.values():
@@ -107,43 +111,43 @@ class Lexicon:
                 for w in ws.split():
                     for form in _forms(w):
                         self.other[form].append((lang, subject))
-        self.known = set(self.first) | set(self.other)
+        self.foreign = frozenset(self.other)
+        self.known = frozenset(self.first) | self.foreign
 
-    def read(self, sentence: str) -> tuple[list[tuple[str, str]], list[str]]:
-        """((subject, term) found, the other words) of a sentence, turns of speech left out."""
+    def read(self, sentence: str) -> tuple[list[tuple[str, str]], set[str]]:
+        """((subject, term) found, the words of the terms) of a sentence, turns of speech left out."""
         return self.match(self.words(sentence))
 
     def words(self, sentence: str) -> list[str]:
         low = sentence.lower()
         words = _WORDS.findall(low)
-        turns = _FIGURE_AT.keys() & words
-        if turns:
-            for t in turns:
+        if not _FIGURE_WORDS.isdisjoint(words):
+            for t in _FIGURE_WORDS.intersection(words):
                 low = _FIGURE_AT[t].sub(" ", low)
             words = _WORDS.findall(low)
         return words
 
-    def match(self, words: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
-        if self.known.isdisjoint(words):
-            return [], words
-        found, rest, i, first = [], [], 0, self.first
-        if first.keys().isdisjoint(words):
-            i, rest = len(words), words
-        while i < len(words):
-            for phrase, subjects, term in first.get(words[i], ()):
-                if len(phrase) == 1 or tuple(words[i : i + len(phrase)]) == phrase:
-                    found += [(s, term) for s in subjects]
-                    i += len(phrase)
-                    break
-            else:
-                rest.append(words[i])
-                i += 1
-        for w in self.other.keys() & words:
+    def match(self, words: list[str]) -> tuple[list[tuple[str, str]], set[str]]:
+        found: list[tuple[str, str]] = []
+        used: set[str] = set()
+        first, free = self.first, 0
+        if not first.keys().isdisjoint(words):
+            for i in [i for i, w in enumerate(words) if w in first]:
+                if i < free:
+                    continue
+                for phrase, subjects, term in first[words[i]]:
+                    n = len(phrase)
+                    if n == 1 or tuple(words[i : i + n]) == phrase:
+                        found += [(s, term) for s in subjects]
+                        used.update(phrase)
+                        free = i + n
+                        break
+        for w in () if self.foreign.isdisjoint(words) else self.foreign.intersection(words):
             for lang, subject in self.other[w]:
                 marks = self.marks[lang]
                 if sum(x in marks for x in words) >= 2:
                     found.append((subject, w))
-        return found, rest
+        return found, used
 
 
 class Model:
@@ -153,25 +157,22 @@ class Model:
         self.talk: dict[str, float] = {}
         self.keeps: dict[str, tuple[str, float]] = {}
         self.weak: set[tuple[str, str]] = set()
-        self._told: tuple[dict[str, tuple[float, str | None, float]], set[str]] | None = None
+        self._live: frozenset[str] | None = None
 
-    def told(self, lex: Lexicon) -> tuple[dict[str, tuple[float, str | None, float]], set[str]]:
-        """(what is known of a word: its lean to speech, the subject it keeps to, how much; words that can vote)."""
-        if self._told is None:
-            words = {w for w in (*self.talk, *self.keeps) if len(w) > 2}
-            told = {w: (self.talk.get(w, 0.0), *self.keeps.get(w, (None, 0.0))) for w in words}
-            self._told = told, lex.known | {w for w, (_, k, _) in told.items() if k}
-        return self._told
+    def live(self, lex: Lexicon) -> frozenset[str]:
+        """The words without which a sentence says nothing of any subject."""
+        if self._live is None:
+            self._live = lex.known | self.keeps.keys()
+        return self._live
 
 
 def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
     """For each paragraph: subject -> votes of the functions that read a text, as bits in the order of _FUNCTIONS.
 
-    A subject with a term or kept word but no vote has 0; subjects without either are absent.
+    ``lex`` is the lexicon without the model's weak terms; subjects without a vote are absent.
     """
     out = []
-    told, live = model.told(lex)
-    weak = model.weak
+    talk, keeps, live = model.talk, model.keeps, model.live(lex)
     for heading, sentences, links in paragraphs(text):
         seen: dict[str, set] = defaultdict(set)
         by_words, touched = set(), set()
@@ -179,50 +180,56 @@ def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
             words = lex.words(s)
             if live.isdisjoint(words):
                 continue
-            found, rest = lex.match(words)
-            score, kept, many = 0.0, {}, {}
-            for w in told.keys() & words:
-                t, k, weight = told[w]
-                if w in rest:
-                    score += t
-                if k:
-                    kept[k] = kept.get(k, 0.0) + weight
-                    many[k] = many.get(k, 0) + 1
-            if found and score > -1.0:
-                for subject, term in found:
-                    if (subject, term) not in weak:
-                        seen[subject].add(term)
-            if kept:
-                subject = max(kept, key=kept.get)
+            found, used = lex.match(words)
+            kept, many = {}, {}
+            for w in {w for w in words if w in keeps}:
+                k, weight = keeps[w]
+                kept[k] = kept.get(k, 0.0) + weight
+                many[k] = many.get(k, 0) + 1
+            if not found and not kept:
+                continue
+            subject = max(kept, key=kept.get) if kept else None
+            strong = subject is not None and kept[subject] >= KEPT_SUM and many[subject] > 1
+            if subject is not None:
                 touched.add(subject)
-                if kept[subject] >= KEPT_SUM and many[subject] > 1 and score > -1.0:
+            if (found or strong) and sum(talk[w] for w in set(words) if w in talk and w not in used) > -1.0:
+                for x, term in found:
+                    seen[x].add(term)
+                if strong:
                     by_words.add(subject)
+        if not (seen or touched or links):
+            out.append({})
+            continue
         named = {subject for subject, _ in lex.read(heading)[0]} if heading else set()
         linked = {subject for x in links for subject, _ in lex.read(re.sub(r"[\W_]+", " ", x))[0]}
-        bits, used = {}, set()
+        bits, taken = {}, set()
         for s in sorted(seen, key=lambda x: (-len(seen[x]), x)):  # a word of two fields is evidence for the one with more of them
-            seen[s] = seen[s] - used
-            used |= seen[s]
-        for s in seen.keys() | by_words | touched | linked:
-            bits[s] = (len(seen.get(s, ())) >= 2) | (s in by_words) << 1 | (s in named and (s in seen or s in touched)) << 2 | (s in linked) << 3
+            seen[s] = seen[s] - taken
+            taken |= seen[s]
+        for s in seen.keys() | touched | linked:
+            v = (len(seen.get(s, ())) >= 2) | (s in by_words) << 1 | (s in named and (s in seen or s in touched)) << 2 | (s in linked) << 3
+            if v:
+                bits[s] = v
         out.append(bits)
     return out
 
 
-def count_words(text: str, lex: Lexicon, counts: Counter) -> None:
-    """Add the sentences of paragraphs the lexicon alone is sure about: (class, word) counts, under the word "" the sentences."""
+def count_words(text: str, lex: Lexicon, counts: dict[str, Counter]) -> None:
+    """Add the sentences of paragraphs the lexicon alone is sure about: class -> counts of words, of sentences under the word ""."""
     for _, sentences, _ in paragraphs(text):
         read = [lex.words(s) for s in sentences]
-        count: dict[str, set] = defaultdict(set)
+        terms_: dict[str, set] = defaultdict(set)
         for words in read:
-            for subject, term in lex.match(words)[0]:
-                count[subject].add(term)
-        best = max(count.items(), key=lambda x: len(x[1]), default=("", ()))
+            if not lex.known.isdisjoint(words):
+                for subject, term in lex.match(words)[0]:
+                    terms_[subject].add(term)
+        best = max(terms_.items(), key=lambda x: len(x[1]), default=("", ()))
         name = best[0] if len(best[1]) >= 3 else "none" if len(best[1]) <= 1 else None
         if name:
+            of = counts[name]
             for words in read:
-                counts.update((name, w) for w in set(words) if len(w) > 2)
-            counts[name, ""] += len(read)
+                of.update(set(words))
+            of[""] += len(read)
 
 
 def word_tables(counts: dict[tuple[str, str], int]) -> tuple[Model, list[str]]:
@@ -256,7 +263,7 @@ def word_tables(counts: dict[tuple[str, str], int]) -> tuple[Model, list[str]]:
         for s in fields.get(w, ()):
             if s in sizes and math.log((of[s][w] + 0.5) / (sizes[s] + 50) / ((of["none"][w] + 0.5) / (n_none + 50))) < KEEPS:
                 model.weak.add((s, w))
-        if weight >= KEEPS and of[top[1]][w] >= 4:
+        if len(w) > 2 and weight >= KEEPS and of[top[1]][w] >= 4:
             model.keeps[w] = (top[1], min(KEPT_CAP, weight))
     return model, subjects
 
@@ -295,18 +302,18 @@ def _counted(docs: DataFrame) -> DataFrame:
     """(name, word, n) of all texts: sums of each task, then of all."""
     names = ("name", "word", "n")
 
-    def batch(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names)
+    def batch(counts: dict[str, Counter]) -> pa.RecordBatch:
+        keys = [(name, w, n) for name, of in counts.items() for w, n in of.items() if len(w) > 2 or not w]
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names)
 
     def run(batches):
-        lex, counts = Lexicon(), Counter()
+        lex, counts = Lexicon(), defaultdict(Counter)
         for b in batches:
             for t in b.column(0):
                 count_words(t.as_py(), lex, counts)
-                if len(counts) >= HELD:
-                    yield batch(counts)
-                    counts = Counter()
+            if sum(map(len, counts.values())) >= HELD:
+                yield batch(counts)
+                counts = defaultdict(Counter)
         yield batch(counts)
 
     return docs.where("text is not null").select("text").mapInArrow(run, "name string, word string, n long").groupBy("name", "word").agg(F.sum("n").alias("n"))
@@ -321,7 +328,7 @@ def _word_counts(docs: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def _cast(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, source, subject, pattern, n, lead): how many paragraphs had a pattern of votes; one row with a vote leads.
+    """(doc_id, source, subject, pattern, n, lead): how many paragraphs had a pattern of votes; one of a subject's rows leads.
 
     A document has also one row without subject, of which n counts its paragraphs.
     """
@@ -329,7 +336,8 @@ def _cast(docs: DataFrame, model: Model) -> DataFrame:
     shape = [("doc_id", pa.int64()), ("source", pa.string()), ("subject", pa.string()), ("pattern", pa.int32()), ("n", pa.int32()), ("lead", pa.int32())]
 
     def run(batches):
-        lex, m = Lexicon(), model.value
+        m = model.value
+        lex = Lexicon(m.weak)
         for b in batches:
             out: list[tuple] = []
             for d, source, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -339,9 +347,8 @@ def _cast(docs: DataFrame, model: Model) -> DataFrame:
                     had.update(bits.items())
                 led: set[str] = set()
                 for (s, v), n in had.items():
-                    out.append((d, source, s, v, n, int(v > 0 and s not in led)))
-                    if v:
-                        led.add(s)
+                    out.append((d, source, s, v, n, int(s not in led)))
+                    led.add(s)
                 out.append((d, source, None, None, len(by_paragraph), 1))
             cols = list(zip(*out, strict=True)) or [[] for _ in shape]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, shape, strict=True)], [n for n, _ in shape])
@@ -385,5 +392,5 @@ def document_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame |
     counts[0] += max(0, total * len(TERMS) - sum(counts.values()))
     trust = accuracies(counts, _false_rates(kept, labels, len(TERMS)) if labels is not None else None)
     best = F.element_at(F.array(*[F.lit(p) for p in trust]), F.col("pattern") + 1)
-    found = kept.where("subject is not null and doc_id is not null and (pattern & 15) <> 0").join(F.broadcast(known), "subject", "left_semi")
+    found = kept.where("subject is not null and doc_id is not null").join(F.broadcast(known), "subject", "left_semi")
     return found.groupBy("doc_id", "subject").agg(F.round(F.max(best), 6).alias("posterior")).where(F.col("posterior") >= threshold)

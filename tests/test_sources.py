@@ -77,9 +77,10 @@ def test_analysis_of_a_checkout(spark, checkout):
     assert {(names[r["source_symbol_id"]], names[r["target_symbol_id"]], r["kind"]) for r in a["symbol_relations"].collect()} == {("run", "helper", "CALLS"), ("run", "lone", "CALLS")}
     assert {r["source_file_id"] for r in a["errors"].collect()} == {"f4", "f9", "f10"}
     c = analysis.counters(checkout, a).first()
-    assert (c["total_files"], c["analyzed_files"], c["skipped_files"], c["error_files"], c["symbols"]) == (10, 6, 1, 3, 4)
-    with pytest.raises(Exception, match="SyntaxError"):
-        extract.extract(checkout.withColumnRenamed("id", "source_file_id"), strict=True).collect()
+    assert (c["total_files"], c["analyzed_files"], c["skipped_files"], c["error_files"], c["files_with_parse_errors"], c["symbols"]) == (10, 6, 1, 3, 0, 4)
+    for bad, error in (("f4", "SyntaxError"), ("f9", "UnicodeDecodeError"), ("f10", "ValueError")):
+        with pytest.raises(Exception, match=error):
+            extract.extract(checkout.where(F.col("id") == bad).withColumnRenamed("id", "source_file_id"), strict=True).collect()
     x = analysis.index(checkout, a["symbols"])
     assert {r["source_file_id"]: r["status"] for r in x["status"].collect()}["f1"] == "indexed" and x["vectors"].count() == x["chunks"].count() == 4
 
@@ -92,7 +93,14 @@ def test_incremental_copies_what_did_not_change(spark, checkout):
     new = new.withColumn("content", F.when(F.col("id") == "n-f6", F.encode(F.lit("export const y = () => 2;\n"), "UTF-8")).otherwise(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
     out = analysis.incremental(prev, old, new)
     assert {r["action"]: r["count"] for r in out["changes"].groupBy("action").count().collect()} == {"REUSE": 2, "ANALYZE": 1, "DELETE": 7}
+    counted = out["counters"].first().asDict()
+    assert tuple(counted) == analysis.COUNTERS
     full = analysis.analyze(new)
+    made = analysis.index(new.where("id <> 'n-f6'"), full["symbols"])
+    assert counted == {
+        "reused_files": 2, "analyzed_files": 1, "skipped_files": 0, "deleted_files": 7, "reused_symbols": 3, "reused_symbol_relations": 2, "reused_source_file_relations": 1,
+        "reused_chunks": made["chunks"].count(), "reused_vectors": made["vectors"].count(), "indexed_chunks": 1,
+    }
     key = lambda df: {r["id"] for r in df.select("id").collect()}
     assert key(out["symbols"]) == key(full["symbols"])
     assert key(out["symbol_relations"]) == key(full["symbol_relations"]) and key(out["source_file_relations"]) == key(full["source_file_relations"])
@@ -100,6 +108,37 @@ def test_incremental_copies_what_did_not_change(spark, checkout):
     assert key(out["chunks"]) == key(made["chunks"]) and out["vectors"].count() == made["vectors"].count()
 
 
+def test_scripts_that_do_not_parse_are_flagged_and_read(spark):
+    rows = [("a", "typescript", b"export const f = () => 1;\nfunction g( {\n"), ("b", "javascript", b"function h() { return 1; }\n"), ("c", "python", b"def (\n"), ("d", "tsx", b"")]
+    df = spark.createDataFrame(rows, "source_file_id string, language string, content binary")
+    got = {r["source_file_id"]: r for r in extract.extract(df).collect()}
+    assert {k: r["has_errors"] for k, r in got.items()} == {"a": True, "b": False, "c": True, "d": False}
+    assert got["a"]["error"] is None and [x["name"] for x in got["a"]["symbols"]][:1] == ["f"]
+
+
+def test_the_pipeline_goes_by_the_snapshot_before(spark, checkout):
+    snaps = spark.createDataFrame([("s", "r", "READY", 1), ("t", "r", "PENDING", 2), ("u", "q", "PENDING", 3), ("x", "r", "FAILED", 0)], "id string, repository_id string, status string, t int").withColumn("created_at", F.timestamp_seconds("t"))
+    assert {(r["id"], r["previous_id"], r["mode"]) for r in analysis.route(snaps).collect()} == {("s", None, "FULL"), ("t", "s", "INCREMENTAL"), ("u", None, "FULL"), ("x", None, "FULL")}
+    old = checkout.where("id in ('f1', 'f2')").withColumn("content_hash", F.sha2("content", 256))
+    files = lambda s: old.withColumns({"snapshot_id": F.lit(s), "id": F.concat(F.lit(f"{s}-"), "id")})
+    mode, first = analysis.process(snaps, "s", files, lambda s: {})
+    assert mode == "FULL" and first["symbols"].count() == 3
+    mode, second = analysis.process(snaps, "t", files, lambda s: {"s": first}[s])
+    assert mode == "INCREMENTAL" and second["symbols"].count() == 3 and second["counters"].first()["reused_files"] == 2
+    with pytest.raises(LookupError):
+        analysis.process(snaps, "none", files, lambda s: {})
+
+
+def test_aliases_of_several_projects(spark):
+    schema = aliases.SCHEMA + ", snapshot_id string"
+    pats = spark.createDataFrame([(0, "@lib/*", 0, "web/lib/*", ".", "s"), (0, "@lib/*", 0, "other/*", ".", "t")], schema)
+    files = spark.createDataFrame([("f1", "s", "web/lib/b.ts"), ("f2", "s", "other/b.ts"), ("f3", "t", "other/b.ts"), ("f4", "t", "web/lib/b.ts"), ("f5", "u", "other/b.ts")], "id string, snapshot_id string, relative_path string")
+    imports = spark.createDataFrame([("i1", "s", "@lib/b"), ("i2", "t", "@lib/b"), ("i3", "u", "@lib/b"), ("i4", "s", None)], "import_id string, snapshot_id string, module string")
+    got = {r["import_id"]: r["target_file_id"] for r in relations.resolve_alias(imports, files, pats).collect()}
+    assert got == {"i1": "f1", "i2": "f3", "i3": None, "i4": None}
+    assert {r["target_file_id"] for r in relations.resolve_alias(imports, files, pats.drop("snapshot_id").limit(0)).collect()} == {None}
+
+
 def test_nested_chunks(spark):
     code = "class A:\n    x = 1\n    def f(self):\n        def g():\n            return 2\n        return g\n    y = 3\n"
     s = spark.createDataFrame([("A", "f", "A", "CLASS", 1, 7), ("A.f", "f", "A.f", "METHOD", 3, 6), ("g", "f", "g", "FUNCTION", 4, 5)], "id string, source_file_id string, qualified_name string, kind string, start_line int, end_line int").withColumn("code", F.lit("clash"))

@@ -67,17 +67,33 @@ def resolve_local(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(best, F.col("import_id") == F.col("_i"), "left").drop("_i")
 
 
+#: Path aliases of one project.
+MAX_PATTERNS = 2_000
+
+
 def resolve_alias(imports: DataFrame, files: DataFrame, patterns: DataFrame) -> DataFrame:
     """imports with ``target_file_id`` by path aliases: patterns in order, their targets in order, then the first file by path.
 
-    patterns: (pattern_pos, pattern, target_pos, target, base_url), a short configuration that is broadcast when counted small.
-    A pattern has one ``*`` or none; the matched part replaces every ``*`` of the target.
+    patterns: (pattern_pos, pattern, target_pos, target, base_url) and, where there are several projects, the snapshot_id they are of;
+    imports meet those of their own snapshot only. Without that column they are one project's configuration, which is read and
+    stands in the plan as a constant, as far as it is one: over ``MAX_PATTERNS`` is an error. A pattern has one ``*`` or none; the matched part replaces every ``*`` of the target.
     """
-    p = broadcast_if_small(patterns)
+    columns = ["pattern_pos", "pattern", "target_pos", "target", "base_url"]
+    one = imports.select("import_id", "snapshot_id", "module")
+    if "snapshot_id" in patterns.columns:
+        p = broadcast_if_small(patterns.select(F.col("snapshot_id").alias("_of"), *columns))
+        m = one.join(p, F.col("snapshot_id") == F.col("_of")).drop("_of")
+    else:
+        given = patterns.select(*columns).limit(MAX_PATTERNS + 1).collect()
+        if len(given) > MAX_PATTERNS:
+            raise ValueError("patterns of many projects need a snapshot_id")
+        types = {f.name: f.dataType for f in patterns.schema}
+        of = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in columns]) for r in given]
+        m = one.withColumn("_p", F.explode(F.array(*of))).select(*one.columns, "_p.*") if of else one.limit(0).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in columns])
     star = F.instr("pattern", "*") > 0
     head, tail = F.substring_index("pattern", "*", 1), F.expr("substring(pattern, instr(pattern, '*') + 1)")
     fits = F.when(star, F.col("module").startswith(head) & F.col("module").endswith(tail)).otherwise(F.col("module") == F.col("pattern"))
-    m = imports.select("import_id", "snapshot_id", "module").crossJoin(p).where(fits)
+    m = m.where(fits)
     middle = F.when(star, F.expr("substring(module, length(substring_index(pattern, '*', 1)) + 1, greatest(length(module) - length(substring_index(pattern, '*', 1)) - length(substring(pattern, instr(pattern, '*') + 1)), 0))")).otherwise(F.lit(""))
     base = F.regexp_replace(F.regexp_replace(join_path(F.coalesce("base_url", F.lit(".")), F.replace("target", F.lit("*"), middle)), r"^(\./)+", ""), r"/(\./)+", "/")
     c = m.select("import_id", "snapshot_id", "pattern_pos", "target_pos", F.explode(F.transform(F.array(*[F.lit(e) for e in ALIAS_ENDINGS]), lambda e: F.concat(base, e))).alias("_path"))

@@ -75,47 +75,25 @@ def list_file_relations(spark, sf_dir):
 
 
 def symbol_neighbours(spark, sf_dir):
-    """Members, callees and callers of every class."""
-    s = P.symbols(spark, sf_dir)
-    return graph.symbol_neighbours(s.where("kind = 'CLASS'").select("id"), P.symbol_relations(spark, sf_dir), s)
-
-
-def file_neighbours(spark, sf_dir):
-    """Imports and importers of every file that is imported."""
-    e = P.source_file_relations(spark, sf_dir)
-    return graph.file_neighbours(e.select("target_file_id"), e, P.source_files(spark, sf_dir))
-
-
-def symbol_neighbours_all(spark, sf_dir):
     """Members, callees and callers of every symbol."""
     s = P.symbols(spark, sf_dir)
     return graph.symbol_neighbours(s.select("id"), P.symbol_relations(spark, sf_dir), s)
 
 
-def file_neighbours_all(spark, sf_dir):
+def file_neighbours(spark, sf_dir):
     """Imports and importers of every file."""
     f = P.source_files(spark, sf_dir)
     return graph.file_neighbours(f.select("id"), P.source_file_relations(spark, sf_dir), f)
 
 
 def _walk(spark, sf_dir):
-    s, e = P.symbols(spark, sf_dir), P.symbol_relations(spark, sf_dir)
-    return graph.walk_calls(s.where("kind = 'FUNCTION'").select("id"), e, s, 3)
-
-
-def walk_calls(spark, sf_dir):
-    """What every function reaches over calls within three steps, at the least depth."""
-    return _walk(spark, sf_dir)
-
-
-def _walk_all(spark, sf_dir):
     s, e = P.symbols(spark, sf_dir), P.symbol_relations(spark, sf_dir)
     return graph.walk_calls(s.select("id"), e, s, 3)
 
 
-def walk_calls_all(spark, sf_dir):
+def walk_calls(spark, sf_dir):
     """What every symbol of any kind reaches over calls within three steps, at the least depth."""
-    return _walk_all(spark, sf_dir)
+    return _walk(spark, sf_dir)
 
 
 def walk_imports(spark, sf_dir):
@@ -125,31 +103,16 @@ def walk_imports(spark, sf_dir):
 
 
 def depth_index(spark, sf_dir):
-    """Places of reached nodes within their depth."""
+    """Places of the nodes that any symbol reaches within their depth."""
     return graph.depth_index(_walk(spark, sf_dir))
 
 
 def induced_subgraph(spark, sf_dir):
-    """Call edges inside what each function reaches."""
-    return graph.induced(_walk(spark, sf_dir), P.symbol_relations(spark, sf_dir))
-
-
-def depth_index_all(spark, sf_dir):
-    """Places of the nodes that any symbol reaches within their depth."""
-    return graph.depth_index(_walk_all(spark, sf_dir))
-
-
-def induced_subgraph_all(spark, sf_dir):
     """Call edges inside what each symbol of any kind reaches."""
-    return graph.induced(_walk_all(spark, sf_dir), P.symbol_relations(spark, sf_dir))
+    return graph.induced(_walk(spark, sf_dir), P.symbol_relations(spark, sf_dir))
 
 
 def edges_of_nodes(spark, sf_dir):
-    """Edges out of and into every interface."""
-    return graph.touching(P.symbol_relations(spark, sf_dir), P.symbols(spark, sf_dir).where("kind = 'INTERFACE'").select("id"))
-
-
-def edges_of_nodes_all(spark, sf_dir):
     """Edges out of and into every symbol."""
     return graph.touching(P.symbol_relations(spark, sf_dir), P.symbols(spark, sf_dir).select("id"))
 
@@ -320,7 +283,6 @@ QUERIES = {
         language_summary, language_detection, discovery_scan, content_hashes, derived_ids, list_files, list_symbol_relations, list_file_relations, symbol_neighbours, file_neighbours, walk_calls, walk_imports, depth_index,
         induced_subgraph, edges_of_nodes, contains_edges, snapshot_compare, change_counts, incremental_plan, previous_ready, newest_snapshot, reuse_symbols, remap_edges, remap_file_edges, file_tree, test_paths, question_kinds,
         direct_children, local_imports, alias_imports, record_audit, last_writes, duplicate_commits, purge_counts, job_audit, latest_job,
-        walk_calls_all, depth_index_all, induced_subgraph_all, symbol_neighbours_all, file_neighbours_all, edges_of_nodes_all,
     )
 }
 
@@ -360,9 +322,7 @@ def asks_sql(q: str, words: list[str]) -> str:
 
 
 _CALLS = f"syms as ({SYMBOLS}), edges as ({EDGES}), calls as (select distinct source_symbol_id s, target_symbol_id t from edges where kind = 'CALLS' and target_symbol_id in (select id from syms))"
-_WALK = f"""with recursive {_CALLS}, w(root_id, node_id, depth) as (select id, id, 0 from syms where kind = 'FUNCTION' union select w.root_id, c.t, w.depth + 1 from w join calls c on w.node_id = c.s where w.depth < 3),
-walked as (select root_id, node_id, min(depth) depth from w group by 1, 2 having min(depth) > 0)"""
-_WALK_ALL = f"""with recursive {_CALLS}, w(root_id, node_id, depth) as (select id, id, 0 from syms union select w.root_id, c.t, w.depth + 1 from w join calls c on w.node_id = c.s where w.depth < 3),
+_WALK = f"""with recursive {_CALLS}, w(root_id, node_id, depth) as (select id, id, 0 from syms union select w.root_id, c.t, w.depth + 1 from w join calls c on w.node_id = c.s where w.depth < 3),
 walked as (select root_id, node_id, min(depth) depth from w group by 1, 2 having min(depth) > 0)"""
 _DEL = f"ready as (select id snapshot_id, repository_id series, row_number() over (partition by repository_id order by created_at, id) seq from ({SNAPS}) where status = 'READY' and repository_id is not null)"
 _PAIRS = f"""{_DEL}, hist as (select series, seq, relative_path, v.id id, v.h content_hash from (select r.series, r.seq, f.relative_path, max(struct_pack(at_ := f.recorded_at, id := f.id, h := f.content_hash)) v
@@ -398,19 +358,13 @@ SQL = {
     "list_files": f"select snapshot_id, relative_path, language, size_bytes from ({FILES}) where snapshot_id in (select snapshot_id from ({INDEXED}))",
     "list_symbol_relations": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select a.source_file_id, a.qualified_name source_name, b.qualified_name target_name, e.kind from edges e join syms a on a.id = e.source_symbol_id join syms b on b.id = e.target_symbol_id and a.source_file_id = b.source_file_id",
     "list_file_relations": f"with files as ({FILES}), e as ({FILE_EDGES}) select e.source_file_id, e.target_file_id, f.relative_path target_path, e.kind from e join files f on f.id = e.target_file_id",
-    "symbol_neighbours": f"with syms as ({SYMBOLS}), edges as ({EDGES}), r as (select id from syms where kind = 'CLASS') select distinct * from (select r.id symbol_id, e.kind relation, e.target_symbol_id neighbour_id from r join edges e on e.source_symbol_id = r.id where e.kind in ('CONTAINS', 'CALLS') union all select r.id, 'CALLED_BY', e.source_symbol_id from r join edges e on e.target_symbol_id = r.id where e.kind = 'CALLS') where neighbour_id in (select id from syms)",
-    "file_neighbours": f"with files as ({FILES}), e as ({FILE_EDGES}), r as (select distinct target_file_id id from e where target_file_id in (select id from files)) select distinct * from (select r.id file_id, 'IMPORTS' relation, e.target_file_id neighbour_id from r join e on e.source_file_id = r.id union all select r.id, 'IMPORTED_BY', e.source_file_id from r join e on e.target_file_id = r.id) where neighbour_id in (select id from files)",
-    "walk_calls": f"{_WALK} select * from walked",
     "walk_imports": f"with recursive files as ({FILES}), e as ({FILE_EDGES}), calls as (select distinct source_file_id s, target_file_id t from e where kind = 'IMPORTS' and target_file_id in (select id from files)), w(root_id, node_id, depth) as (select distinct source_file_id, source_file_id, 0 from e where source_file_id in (select id from files) union select w.root_id, c.t, w.depth + 1 from w join calls c on w.node_id = c.s where w.depth < 3) select root_id, node_id, min(depth) depth from w group by 1, 2 having min(depth) > 0",
+    "walk_calls": f"{_WALK} select * from walked",
     "depth_index": f"{_WALK} select *, row_number() over (partition by root_id, depth order by node_id) - 1 as index from walked",
     "induced_subgraph": f"{_WALK}, inside as (select root_id, node_id from walked union select root_id, root_id from walked), c as (select distinct source_symbol_id source, target_symbol_id target from edges where kind = 'CALLS') select a.root_id, c.source, c.target from c join inside a on a.node_id = c.source join inside b on b.node_id = c.target and a.root_id = b.root_id",
-    "walk_calls_all": f"{_WALK_ALL} select * from walked",
-    "depth_index_all": f"{_WALK_ALL} select *, row_number() over (partition by root_id, depth order by node_id) - 1 as index from walked",
-    "induced_subgraph_all": f"{_WALK_ALL}, inside as (select root_id, node_id from walked union select root_id, root_id from walked), c as (select distinct source_symbol_id source, target_symbol_id target from edges where kind = 'CALLS') select a.root_id, c.source, c.target from c join inside a on a.node_id = c.source join inside b on b.node_id = c.target and a.root_id = b.root_id",
-    "edges_of_nodes": f"with syms as ({SYMBOLS}), edges as ({EDGES}), n as (select id from syms where kind = 'INTERFACE') select n.id node_id, 'OUT' direction, e.target_symbol_id other_id, e.kind from edges e join n on n.id = e.source_symbol_id union all select n.id, 'IN', e.source_symbol_id, e.kind from edges e join n on n.id = e.target_symbol_id",
-    "symbol_neighbours_all": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select distinct * from (select r.id symbol_id, e.kind relation, e.target_symbol_id neighbour_id from syms r join edges e on e.source_symbol_id = r.id where e.kind in ('CONTAINS', 'CALLS') union all select r.id, 'CALLED_BY', e.source_symbol_id from syms r join edges e on e.target_symbol_id = r.id where e.kind = 'CALLS') where neighbour_id in (select id from syms)",
-    "file_neighbours_all": f"with files as ({FILES}), e as ({FILE_EDGES}) select distinct * from (select r.id file_id, 'IMPORTS' relation, e.target_file_id neighbour_id from files r join e on e.source_file_id = r.id union all select r.id, 'IMPORTED_BY', e.source_file_id from files r join e on e.target_file_id = r.id) where neighbour_id in (select id from files)",
-    "edges_of_nodes_all": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select n.id node_id, 'OUT' direction, e.target_symbol_id other_id, e.kind from edges e join syms n on n.id = e.source_symbol_id union all select n.id, 'IN', e.source_symbol_id, e.kind from edges e join syms n on n.id = e.target_symbol_id",
+    "symbol_neighbours": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select distinct * from (select r.id symbol_id, e.kind relation, e.target_symbol_id neighbour_id from syms r join edges e on e.source_symbol_id = r.id where e.kind in ('CONTAINS', 'CALLS') union all select r.id, 'CALLED_BY', e.source_symbol_id from syms r join edges e on e.target_symbol_id = r.id where e.kind = 'CALLS') where neighbour_id in (select id from syms)",
+    "file_neighbours": f"with files as ({FILES}), e as ({FILE_EDGES}) select distinct * from (select r.id file_id, 'IMPORTS' relation, e.target_file_id neighbour_id from files r join e on e.source_file_id = r.id union all select r.id, 'IMPORTED_BY', e.source_file_id from files r join e on e.target_file_id = r.id) where neighbour_id in (select id from files)",
+    "edges_of_nodes": f"with syms as ({SYMBOLS}), edges as ({EDGES}) select n.id node_id, 'OUT' direction, e.target_symbol_id other_id, e.kind from edges e join syms n on n.id = e.source_symbol_id union all select n.id, 'IN', e.source_symbol_id, e.kind from edges e join syms n on n.id = e.target_symbol_id",
     "contains_edges": f"select {entity_sql('symbol_relations', 'parent_symbol_id', chr(39) + 'CONTAINS' + chr(39), 'id')} id, parent_symbol_id source_symbol_id, id target_symbol_id from ({SYMBOLS}) where parent_symbol_id is not null",
     "snapshot_compare": f"with {_PAIRS} select * from cmp",
     "change_counts": f"with {_PAIRS} select series, seq, count(*) filter (change_kind = 'ADDED') added, count(*) filter (change_kind = 'DELETED') deleted, count(*) filter (change_kind = 'MODIFIED') modified, count(*) filter (change_kind = 'UNCHANGED') unchanged from cmp group by 1, 2",

@@ -136,8 +136,8 @@ def reused_vectors(spark, sf_dir):
     return snapshots.reuse_vectors(v, _reused(spark, sf_dir)).select("chunk_id", "snapshot_id", "n")
 
 
-def incremental_counts(spark, sf_dir):
-    """An incremental run over the stored checkouts, with every tenth file taken as changed: rows of each table that it makes."""
+def _incremental(spark, sf_dir):
+    """An incremental run over all stored checkouts; the files whose id begins with 0 are taken as changed."""
     f = _checkout(spark, sf_dir).withColumn("content_hash", F.sha2("content", 256))
     prev = {t: P_(spark, sf_dir) for t, P_ in (("symbols", P.symbols), ("symbol_relations", P.symbol_relations), ("source_file_relations", P.source_file_relations))}
     prev["symbols"] = prev["symbols"].select("id", "source_file_id", "name", "qualified_name", "kind", "start_line", "end_line", "parent_symbol_id")
@@ -154,18 +154,33 @@ def incremental_counts(spark, sf_dir):
     # Files of one snapshot meet those of the next: the snapshot is part of the path they are compared by.
     tag = lambda df, s: df.withColumn("relative_path", F.concat(s, F.lit("/"), F.col("relative_path")))
     out = analysis.incremental(prev, tag(f, F.col("snapshot_id")), tag(new, F.regexp_replace("snapshot_id", "^next-", "")))
-    rows = None
+    return out
+
+
+def incremental_counts(spark, sf_dir):
+    """Rows of each table that an incremental run makes."""
+    out, rows = _incremental(spark, sf_dir), None
     for t in ("symbols", "symbol_relations", "source_file_relations", "import_references", "chunks", "vectors"):
         n = out[t].agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(t))
         rows = n if rows is None else rows.unionByName(n)
     return rows
 
 
+def incremental_counters(spark, sf_dir):
+    """The ten counters of an incremental run."""
+    return _incremental(spark, sf_dir)["counters"]
+
+
+def pipeline_routes(spark, sf_dir):
+    """Whether each snapshot is processed in full or from the READY one before it."""
+    return analysis.route(P.snapshots(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         upserted_symbols, deleted_rows, listed_files, listed_symbols, listed_chunks, snapshot_by_commit, first_ready, shown_fields, repository_addresses, job_gate, mapped_symbols, resolved_calls, listed_imports, reused_chunks, reused_vectors,
-        incremental_counts,
+        incremental_counts, incremental_counters, pipeline_routes,
     )
 }
 
@@ -177,6 +192,7 @@ re as (select {entity_sql('chunks', 'm.snap', 'm.cur', 'm.new_id', 'c.part_index
 _LOG = "log as (select event_id id, user_id job_id, ts created_at, case event_type when 'view' then 'QUEUED' when 'click' then 'DISCOVERING' when 'purchase' then 'PROCESSING' when 'error' then 'FAILED' else 'READY' end status from events)"
 
 SQL = {
+    "pipeline_routes": f"with s as ({SNAPS}), r as (select a.id, a.repository_id, (select arg_max(b.id, struct_pack(c := b.created_at, i := b.id)) from s b where b.repository_id = a.repository_id and b.status = 'READY' and b.created_at < a.created_at) previous_id from s a) select *, case when previous_id is null then 'FULL' else 'INCREMENTAL' end as mode from r",
     "upserted_symbols": f"select id, v.kind kind, v.start_line start_line, v.end_line end_line from (select id, max(struct_pack(at_ := recorded_at, end_line := 0, kind := kind, start_line := start_line, end_line_ := end_line)) w, max(struct_pack(at_ := recorded_at, kind := kind, start_line := start_line, end_line := end_line)) v from (select {uuid_sql('id')} id, kind, start_line, end_line, recorded_at from symbols) group by id)",
     "deleted_rows": f"with files as ({FILES}), syms as ({SYMBOLS}), edges as ({EDGES}), f as (select id from files where starts_with(relative_path, 'tests/')), s as (select id from syms where source_file_id in (select id from f)) select 'files' what, count(*) deleted from f union all select 'symbols', count(*) from s union all select 'edges', count(*) from edges where source_symbol_id in (select id from s) or target_symbol_id in (select id from s)",
     "listed_files": f"select snapshot_id, id, row_number() over (partition by snapshot_id order by relative_path, id) place from ({FILES})",

@@ -6,12 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it was counted; at the widest row used here (about 300 bytes) this is 60 MB.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their texts and arrays, up to which a side may be broadcast after both were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def build(master: str | None = None, app: str = "treeloom", **conf: str) -> SparkSession:
@@ -26,12 +27,14 @@ def build(master: str | None = None, app: str = "treeloom", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set and the session is local."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = sc._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
+    if not at and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="treeloom-")
         sc.setCheckpointDir(at)
@@ -73,6 +76,22 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when at most ``rows`` rows were counted; beyond, the planner's shuffled join stays in force."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its texts and arrays by length, eight for anything else."""
+    sizes = [F.lit(16)]
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        if t in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif t in ("array", "map"):
+            sizes.append(32 * F.greatest(F.size(c), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return reduce(lambda a, b: a + b, sizes).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when at most ``rows`` rows of ``bytes_`` together were counted; beyond, the planner's join stays."""
+    n, size = df.limit(rows + 1).select(_bytes(df).alias("_size")).agg(F.count("*"), F.sum("_size")).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= bytes_ else df

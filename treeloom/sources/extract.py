@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.sources.languages import first_problem
+
 LANGUAGES = ("python", "javascript", "typescript", "tsx")
 _SYMBOL = pa.struct([("ordinal", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent_name", pa.string())])
 _IMPORT = pa.struct([("module", pa.string()), ("imported_name", pa.string()), ("alias", pa.string()), ("line", pa.int32())])
 _CALL = pa.struct([("caller_name", pa.string()), ("callee_name", pa.string()), ("owner_name", pa.string()), ("line", pa.int32())])
 SCHEMA = (
     "source_file_id string, symbols array<struct<ordinal:int,name:string,kind:string,start_line:int,end_line:int,parent_name:string>>, imports array<struct<module:string,imported_name:string,alias:string,line:int>>, "
-    "calls array<struct<caller_name:string,callee_name:string,owner_name:string,line:int>>, error string"
+    "calls array<struct<caller_name:string,callee_name:string,owner_name:string,line:int>>, error string, has_errors boolean"
 )
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -367,7 +369,9 @@ def read(text: str, language: str) -> tuple[list[tuple], list[tuple], list[tuple
 
 
 def extract(files: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per file (source_file_id, symbols, imports, calls, error) from (source_file_id, language, content).
+    """One row per file (source_file_id, symbols, imports, calls, error, has_errors) from (source_file_id, language, content).
+
+    has_errors says that the language's grammar rejects the text; what can be made out of a script is given all the same.
 
     Files of other languages give no row. Null content, bytes that are no UTF-8 and Python that doesn't parse give an error and
     empty lists, or raise when ``strict``. Files are independent rows, so any number of them spreads over the tasks.
@@ -381,18 +385,19 @@ def extract(files: DataFrame, strict: bool = False) -> DataFrame:
                     data = content.as_py()
                     if data is None:
                         raise ValueError("no content")
-                    rows.append((*read(data.decode("utf-8"), lang), None))
+                    text = data.decode("utf-8")
+                    rows.append((*read(text, lang), None, lang != "python" and first_problem(lang, text.removeprefix("\ufeff")) is not None))
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                     if strict:
                         raise
-                    rows.append(([], [], [], f"{type(e).__name__}: {e}"[:200]))
+                    rows.append(([], [], [], f"{type(e).__name__}: {e}"[:200], isinstance(e, SyntaxError)))
             names = [[f.name for f in t] for t in (_SYMBOL, _IMPORT, _CALL)]
             syms = [[dict(zip(names[0], (i, *x), strict=True)) for i, x in enumerate(r[0])] for r in rows]
             imps = [[dict(zip(names[1], x, strict=True)) for x in r[1]] for r in rows]
             calls = [[dict(zip(names[2], x, strict=True)) for x in r[2]] for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(syms, pa.list_(_SYMBOL)), pa.array(imps, pa.list_(_IMPORT)), pa.array(calls, pa.list_(_CALL)), pa.array([r[3] for r in rows], pa.string())],
-                ["source_file_id", "symbols", "imports", "calls", "error"],
+                [b.column(0), pa.array(syms, pa.list_(_SYMBOL)), pa.array(imps, pa.list_(_IMPORT)), pa.array(calls, pa.list_(_CALL)), pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.bool_())],
+                ["source_file_id", "symbols", "imports", "calls", "error", "has_errors"],
             )
 
     return files.where(F.col("language").isin(*LANGUAGES)).select("source_file_id", "language", "content").mapInArrow(run, SCHEMA)

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from treeloom.llm import grammar, handwritten, repair, syntax
-from treeloom.llm.languages import first_problem
+from treeloom.llm import handwritten, repair, syntax
+from treeloom.sources import grammar
+from treeloom.sources.languages import first_problem
 
 JS_OK = [
     "", "﻿// only a comment\n", "import a, { b as c } from './x';\nexport default class A extends B { #p = 1; static async *m(x = {}, ...r) { return await x?.y ?? r[0]; } get v() { return this.#p } }",

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.languages import LANGUAGES, first_problem
+from treeloom.sources.languages import LANGUAGES, first_problem
 
 
 def decoded(content: bytes | None) -> str:

@@ -40,10 +40,11 @@ def chunks(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    q, v, s = questions(spark, sf_dir), vectors(spark, sf_dir), P.symbols(spark, sf_dir)
+    # Every step is read more than once below it, by counts and joins, so each is written once.
+    q, v, s = materialize(questions(spark, sf_dir), "questions"), vectors(spark, sf_dir), materialize(P.symbols(spark, sf_dir), "symbols")
     h = materialize(retrieval.hits(retrieval.top_k(q, v, _K), v, s), "hits")
-    e = retrieval.expand(h, P.symbol_relations(spark, sf_dir), s)
-    return q, h, e, retrieval.rerank(q, h, e, s, P.source_files(spark, sf_dir))
+    e = materialize(retrieval.expand(h, P.symbol_relations(spark, sf_dir), s), "expansions")
+    return q, h, e, materialize(retrieval.rerank(q, h, e, s, P.source_files(spark, sf_dir)), "ranking")
 
 
 def _context(spark, sf_dir, **budget):

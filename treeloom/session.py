@@ -93,5 +93,5 @@ def _bytes(df: DataFrame) -> Column:
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when at most ``rows`` rows of ``bytes_`` together were counted; beyond, the planner's join stays."""
-    n, size = df.limit(rows + 1).select(_bytes(df).alias("_size")).agg(F.count("*"), F.sum("_size")).first()
+    n, size = df.select(_bytes(df).alias("_size")).limit(rows + 1).agg(F.count("*"), F.sum("_size")).first()
     return F.broadcast(df) if n <= rows and (size or 0) <= bytes_ else df

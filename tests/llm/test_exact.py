@@ -165,6 +165,11 @@ DOCS = [
 ]
 
 
+def test_words_of_items_are_counted_as_they_are_indexed(spark):
+    items = spark.createDataFrame([("a.b.c(d) e_f",), ("",)], "item_text string")
+    assert leaks._counted_words(items).agg(F.sum("n")).first()[0] == 6
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_leaks(spark, limit, monkeypatch):
     monkeypatch.setattr(leaks, "MAX_WINDOWS", limit)

@@ -83,8 +83,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame
     """
     spark = docs.sparkSession
     items = items.where("item_id is not null and item_text is not null").select("item_id", "item_text")
-    size = items.agg(F.count("*"), F.sum(F.size(F.split("item_text", r"\s+")))).first()
-    if (size[1] or 0) > MAX_WINDOWS:
+    if (_counted_words(items).agg(F.sum("n")).first()[0] or 0) > MAX_WINDOWS:
         return _joined(docs, items, n)
     tables = spark.sparkContext.broadcast(_index([tuple(r) for r in items.toLocalIterator()], n))
 
@@ -103,6 +102,16 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(scan, _SPANS)
 
 
+def _counted_words(items: DataFrame) -> DataFrame:
+    """Words of the items, counted as the index takes them; an item has no more windows than words."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(_WORD.findall(normal(t.as_py()))) for t in b.column(0))], pa.int64())], ["n"])
+
+    return items.select("item_text").mapInArrow(run, "n long")
+
+
 def _batch(rows):
     cols = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start", "stop"])

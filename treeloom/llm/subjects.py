@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Set
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,9 +44,15 @@ LABELLED = 20_000
 
 _FENCE = re.compile(r"^[ \t>]*(?:[-*] )?(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)", re.S | re.M)
 _CODE_LINE = re.compile(r"^(?: {4,}|\t).*$|^> .*[=(){};].*$|^.*[;{}]\s*$", re.M)
+#: Without it, and without tabs, runs of spaces and quotes, no line is code.
+_CODE_END = re.compile(r"[;{}]\s*$", re.M)
 _TICKS = re.compile(r"`[^`\n]*`")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+#: The sign that ends a sentence, with the space behind it, or a line's end.
+_SENTENCE = re.compile(r"([.!?\n])(?:(?<=\n)|\s+)")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+#: Bytes of lower-case ASCII as they are, anything else as a space.
+_LETTERS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz" else 32 for c in range(256))
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w/.])(?:[\w.-]+/){2,}[\w.-]*")
 _FUNCTIONS = ("terms", "words", "section", "address", "source")
 #: The votes of the functions that read a text, as one number; the vote of the source is added to it afterwards.
@@ -55,9 +62,12 @@ _SOURCE_BIT, _PATTERNS = 1 << 4, range(1 << 5)
 def paragraphs(text: str) -> list[tuple[str, list[str], list[str]]]:
     """(heading, sentences, addresses) of each paragraph of prose; code, quoted code and inline code are left out."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _TICKS.sub(" ", _CODE_LINE.sub("", _FENCE.sub("\n\n", text)))
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
+    if "\t" in text or "    " in text or "> " in text or (";" in text or "{" in text or "}" in text) and _CODE_END.search(text):
+        text = _CODE_LINE.sub("", text)
     out, heading = [], ""
-    for p in re.split(r"\n[ \t]*\n", text):
+    for p in _PARAGRAPH.split(_TICKS.sub(" ", text)):
         lines = p.strip()
         if not lines:
             continue
@@ -68,10 +78,19 @@ def paragraphs(text: str) -> list[tuple[str, list[str], list[str]]]:
             links = _ADDRESS.findall(lines) if "/" in lines or "@" in lines or "www." in lines else []
             for x in links:
                 lines = lines.replace(x, " ")
-            out.append((heading, [s for s in _SENTENCE.split(lines) if s.strip()], links))
+            parts = _SENTENCE.split(lines)
+            ended = [s if end == "\n" else s + end for s, end in zip(parts[::2], parts[1::2])]
+            out.append((heading, [s for s in (*ended, parts[-1]) if s and not s.isspace()], links))
     return out
 
 
+def plain_words(low: str) -> list[str]:
+    """What _WORDS finds in a lower-case text; ASCII without a sign that joins words is only split."""
+    if not low.isascii() or "'" in low or "-" in low:
+        return _WORDS.findall(low)
+    return low.encode().translate(_LETTERS).decode().split()
+
+
 def _forms(phrase: str):
     yield phrase
     if phrase.endswith("y") and phrase[-2] not in "aeiou":
@@ -113,6 +132,9 @@ class Lexicon:
                         self.other[form].append((lang, subject))
         self.foreign = frozenset(self.other)
         self.known = frozenset(self.first) | self.foreign
+        #: By first word: the second words of longer phrases; what it says where none of them is in the sentence.
+        self.second = {w: frozenset(p[1] for p, _, _ in v if len(p) > 1) for w, v in self.first.items() if len(v[0][0]) > 1}
+        self.alone = {w: [(s, x[2]) for s in x[1]] for w, v in self.first.items() if (x := next((x for x in v if len(x[0]) == 1), None))}
 
     def read(self, sentence: str) -> tuple[list[tuple[str, str]], set[str]]:
         """((subject, term) found, the words of the terms) of a sentence, turns of speech left out."""
@@ -120,35 +142,55 @@ class Lexicon:
 
     def words(self, sentence: str) -> list[str]:
         low = sentence.lower()
-        words = _WORDS.findall(low)
+        words = plain_words(low)
         if not _FIGURE_WORDS.isdisjoint(words):
+            whole = low
             for t in _FIGURE_WORDS.intersection(words):
                 low = _FIGURE_AT[t].sub(" ", low)
-            words = _WORDS.findall(low)
+            if low != whole:
+                words = plain_words(low)
         return words
 
     def match(self, words: list[str]) -> tuple[list[tuple[str, str]], set[str]]:
         found: list[tuple[str, str]] = []
         used: set[str] = set()
-        first, free = self.first, 0
-        if not first.keys().isdisjoint(words):
-            for i in [i for i, w in enumerate(words) if w in first]:
-                if i < free:
-                    continue
-                for phrase, subjects, term in first[words[i]]:
-                    n = len(phrase)
-                    if n == 1 or tuple(words[i : i + n]) == phrase:
-                        found += [(s, term) for s in subjects]
-                        used.update(phrase)
-                        free = i + n
-                        break
-        for w in () if self.foreign.isdisjoint(words) else self.foreign.intersection(words):
-            for lang, subject in self.other[w]:
-                marks = self.marks[lang]
-                if sum(x in marks for x in words) >= 2:
-                    found.append((subject, w))
+        known = self.known.intersection(words)
+        if not known:
+            return found, used
+        second, alone = self.second, self.alone
+        for w in known:
+            if w in second and not second[w].isdisjoint(words):
+                self._phrases(words, found, used)
+                break
+        else:
+            for w in known if len(known) == 1 else words:  # in their order, which settles ties of classes
+                if w in alone:
+                    found += alone[w]
+                    used.add(w)
+        if not self.foreign.isdisjoint(known):
+            spoken: dict[str, bool] = {}
+            for w in self.foreign.intersection(words):
+                for lang, subject in self.other[w]:
+                    if lang not in spoken:
+                        marks = self.marks[lang].intersection(words)
+                        spoken[lang] = len(marks) > 1 or sum(map(words.count, marks)) > 1
+                    if spoken[lang]:
+                        found.append((subject, w))
         return found, used
 
+    def _phrases(self, words: list[str], found: list[tuple[str, str]], used: set[str]) -> None:
+        first, free = self.first, 0
+        for i in [i for i, w in enumerate(words) if w in first]:
+            if i < free:
+                continue
+            for phrase, subjects, term in first[words[i]]:
+                n = len(phrase)
+                if n == 1 or tuple(words[i : i + n]) == phrase:
+                    found += [(s, term) for s in subjects]
+                    used.update(phrase)
+                    free = i + n
+                    break
+
 
 class Model:
     """The learned tables: how much a word speaks for page phrases, and which words keep to a subject."""
@@ -157,13 +199,13 @@ class Model:
         self.talk: dict[str, float] = {}
         self.keeps: dict[str, tuple[str, float]] = {}
         self.weak: set[tuple[str, str]] = set()
-        self._live: frozenset[str] | None = None
+        self._words: tuple[frozenset[str], frozenset[str]] | None = None
 
-    def live(self, lex: Lexicon) -> frozenset[str]:
-        """The words without which a sentence says nothing of any subject."""
-        if self._live is None:
-            self._live = lex.known | self.keeps.keys()
-        return self._live
+    def words(self) -> tuple[frozenset[str], frozenset[str]]:
+        """The words of ``talk`` and of ``keeps``."""
+        if self._words is None:
+            self._words = frozenset(self.talk), frozenset(self.keeps)
+        return self._words
 
 
 def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
@@ -172,27 +214,29 @@ def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
     ``lex`` is the lexicon without the model's weak terms; subjects without a vote are absent.
     """
     out = []
-    talk, keeps, live = model.talk, model.keeps, model.live(lex)
+    talk, keeps = model.talk, model.keeps
+    talking, keeping = model.words()
+    read, named = "", set()
     for heading, sentences, links in paragraphs(text):
         seen: dict[str, set] = defaultdict(set)
         by_words, touched = set(), set()
         for s in sentences:
             words = lex.words(s)
-            if live.isdisjoint(words):
-                continue
             found, used = lex.match(words)
-            kept, many = {}, {}
-            for w in {w for w in words if w in keeps}:
-                k, weight = keeps[w]
-                kept[k] = kept.get(k, 0.0) + weight
-                many[k] = many.get(k, 0) + 1
+            kept = keeping.intersection(words)
             if not found and not kept:
                 continue
-            subject = max(kept, key=kept.get) if kept else None
-            strong = subject is not None and kept[subject] >= KEPT_SUM and many[subject] > 1
-            if subject is not None:
+            strong = False
+            if kept:
+                sums: dict[str, float] = {}
+                for w in kept:
+                    subject, weight = keeps[w]
+                    sums[subject] = sums.get(subject, 0.0) + weight
+                if len(sums) > 1:
+                    subject = max(sums, key=sums.get)
                 touched.add(subject)
-            if (found or strong) and sum(talk[w] for w in set(words) if w in talk and w not in used) > -1.0:
+                strong = sums[subject] >= KEPT_SUM and sum(keeps[w][0] == subject for w in kept) > 1
+            if (found or strong) and sum(map(talk.__getitem__, talking.intersection(words) - used)) > -1.0:
                 for x, term in found:
                     seen[x].add(term)
                 if strong:
@@ -200,7 +244,8 @@ def votes(text: str, lex: Lexicon, model: Model) -> list[dict[str, int]]:
         if not (seen or touched or links):
             out.append({})
             continue
-        named = {subject for subject, _ in lex.read(heading)[0]} if heading else set()
+        if heading != read:
+            read, named = heading, {subject for subject, _ in lex.read(heading)[0]} if heading else set()
         linked = {subject for x in links for subject, _ in lex.read(re.sub(r"[\W_]+", " ", x))[0]}
         bits, taken = {}, set()
         for s in sorted(seen, key=lambda x: (-len(seen[x]), x)):  # a word of two fields is evidence for the one with more of them
@@ -218,17 +263,16 @@ def count_words(text: str, lex: Lexicon, counts: dict[str, Counter]) -> None:
     """Add the sentences of paragraphs the lexicon alone is sure about: class -> counts of words, of sentences under the word ""."""
     for _, sentences, _ in paragraphs(text):
         read = [lex.words(s) for s in sentences]
-        terms_: dict[str, set] = defaultdict(set)
-        for words in read:
-            if not lex.known.isdisjoint(words):
-                for subject, term in lex.match(words)[0]:
-                    terms_[subject].add(term)
-        best = max(terms_.items(), key=lambda x: len(x[1]), default=("", ()))
-        name = best[0] if len(best[1]) >= 3 else "none" if len(best[1]) <= 1 else None
+        found = dict.fromkeys(chain.from_iterable(lex.match(words)[0] for words in read))
+        met: dict[str, int] = {}
+        for subject, _ in found:
+            met[subject] = met.get(subject, 0) + 1
+        best = max(met, key=met.get) if met else ""
+        most = met.get(best, 0)
+        name = best if most >= 3 else "none" if most <= 1 else None
         if name:
             of = counts[name]
-            for words in read:
-                of.update(set(words))
+            of.update(chain.from_iterable(map(set, read)))
             of[""] += len(read)
 
 
